@@ -37,7 +37,7 @@ class Robust:
     steps: int = 4
     tail: float = 1e-9
     least: int = 50
-    floors: tuple[int, ...] = (60, 350, 350, 350)
+    floors: tuple[int, ...] = (80, 350, 150, 150)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -91,8 +91,8 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     vector = [
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words),
         F.log1p(100 * F.col("n_symbols") / words),
-        F.log1p(100 * F.col("n_dup_lines") / lines),
-        F.log1p(100 * F.col("n_repeat_words") / words),
+        F.col("n_dup_lines") / lines,
+        F.col("n_repeat_words") / words,
     ]
     return materialize(counted.select("*", *[F.round(1000 * v).cast("long").alias(n) for v, n in zip(vector, FEATURES, strict=True)], failed.alias("base_failed")))
 
