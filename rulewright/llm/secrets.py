@@ -117,8 +117,9 @@ def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, repository_col: str =
 
 def _marked(docs, kinds, repository_col, owner_col, most_owners, id_col, text_col) -> tuple[DataFrame, DataFrame]:
     rows = candidates(docs, kinds, id_col, text_col, (repository_col, owner_col or repository_col))
-    known = ownership(rows).select("hash", (F.greatest("repositories", "owners") <= most_owners).alias("live"))
-    return rows, spans(rows, kinds).join(known, "hash")
+    known = materialize(ownership(rows).select("hash", (F.greatest("repositories", "owners") <= most_owners).alias("live")))
+    # Both sides are plain tables, so Spark can split the rows of a value that many documents hold.
+    return rows, materialize(spans(rows, kinds)).join(checked_broadcast(known), "hash")
 
 
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, repository_col: str = "source", owner_col: str | None = None, most_owners: int = 3, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", mask: str = MASK) -> DataFrame:

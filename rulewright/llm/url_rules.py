@@ -131,8 +131,8 @@ def judge(pages: DataFrame, rules=PREFIX_RULES, patterns=PATTERNS, id_col: str =
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     urls = materialize(rows.where("url is not null").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
-    known = urls.join(prefix_verdicts(urls, rules), "url", "left").join(pattern_verdicts(urls, patterns), "url", "left")
-    joined = rows.join(known, "url", "left")
+    known = materialize(urls.join(prefix_verdicts(urls, rules), "url", "left").join(pattern_verdicts(urls, patterns), "url", "left"))
+    joined = rows.join(known, "url", "left")  # plain tables both: the rows of a url that many pages have can be split
     return joined.select(
         "page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule",
         F.coalesce("action", "verdict", F.lit("allow")).alias("verdict"), F.col("verdict").isNotNull().alias("matched"),
