@@ -67,5 +67,28 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+LETTERS = " || ".join(f"substr('{warc.BASE32}', ((h[{k + 1}] >> {s}) & 31)::INTEGER + 1, 1)" for k in range(8) for s in (15, 10, 5, 0))
+OP3_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS sha, max(page_id) OVER (PARTITION BY html) AS keep FROM p),
+x AS (SELECT *, [{", ".join(f"('0x' || substr(sha, {5 * k + 1}, 5))::BIGINT" for k in range(8))}] AS h FROM d)
+SELECT page_id, payload_bytes, {LETTERS} AS payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != keep THEN keep END AS refers_to, true AS complete FROM x
+"""
+
+
+def _op9_sql() -> str:
+    """Every rule against every url, without an index."""
+    prefix = ", ".join(f"('{a}', '{h}', '{p}', '{h}{p}')" for a, h, p in url_rules.PREFIX_RULES)
+    hits = {k: " OR ".join(f"regexp_matches(low, '{url_rules.compile_pattern(p.text)}')" for p in url_rules.PATTERNS if p.action == k) for k in ("allow", "block")}
+    return rf"""
+WITH u AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM pages),
+r AS (SELECT * FROM (VALUES {prefix}) t(action, suffix, start, rule)),
+b AS (SELECT page_id, first(r.rule ORDER BY length(r.rule) DESC) AS rule, first(action ORDER BY length(r.rule) DESC) AS action FROM u JOIN r ON (host = suffix OR ends_with(host, '.' || suffix)) AND starts_with(path, start) GROUP BY page_id),
+m AS (SELECT *, coalesce({hits["allow"]}, false) AS good, coalesce({hits["block"]}, false) AS bad FROM u)
+SELECT m.page_id, host, path, rule, coalesce(action, CASE WHEN bad AND NOT good THEN 'block' ELSE 'allow' END) AS verdict, good OR bad AS matched FROM m LEFT JOIN b USING (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op3_warc_transactions": OP3_SQL, "op9_url_rules": _op9_sql()}

@@ -55,9 +55,9 @@ TOKEN = "[^a-z0-9]+"
 
 def compile_pattern(text: str) -> str:
     """A regular expression to be found in a lower-cased URL."""
-    out, rest = "", text.lower()
+    out, rest = "(?s)", text.lower()
     if rest.startswith("||"):
-        out, rest = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?", rest[2:]
+        out, rest = r"(?s)^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?", rest[2:]
     return out + "".join(".*" if c == "*" else SEPARATOR if c == "^" else re.sub(r"([^a-z0-9])", r"\\\1", c) for c in rest)
 
 
