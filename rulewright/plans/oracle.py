@@ -127,7 +127,7 @@ def oracle_sql() -> dict[str, str]:
         "tournament_probabilities": "SELECT i::INTEGER AS seat, round(CASE WHEN i < 9 THEN 0.4 * pow(0.6, i) ELSE pow(0.6, 9) END, 6) AS chance FROM range(10) g(i)",
         "feedback_signal": f"WITH {FEEDBACK} SELECT * FROM fb",
         "feedback_apply": f"WITH {FEEDBACK} SELECT population, place, round(1 + 0.5 * feedback, 6) AS additive, round(2 * (1 + 0.5 * feedback), 6) AS multiplicative FROM fb",
-        "ema": f"WITH RECURSIVE {SERIES}, r AS (SELECT series, i, epoch, score AS v FROM s WHERE i = 1 UNION ALL SELECT s.series, s.i, s.epoch, 0.125 * s.score + 0.875 * r.v FROM r JOIN s ON s.series = r.series AND s.i = r.i + 1) SELECT series, epoch, round(v, 6) AS ema FROM r",
+        "ema": f"WITH RECURSIVE {SERIES}, r AS (SELECT series, i, epoch, score AS v FROM s WHERE i = 1 UNION ALL SELECT s.series, s.i, s.epoch, (2.0::DOUBLE / 14) * s.score + (1 - 2.0::DOUBLE / 14) * r.v FROM r JOIN s ON s.series = r.series AND s.i = r.i + 1) SELECT series, epoch, round(v, 6) AS ema FROM r",
         "regeneration_marks": f"""WITH RECURSIVE {SERIES}, r AS (SELECT series, i, epoch, score AS best, 0 AS stale, false AS mark FROM s WHERE i = 1 UNION ALL
 SELECT s.series, s.i, s.epoch, CASE WHEN s.score > r.best THEN s.score WHEN r.stale + 1 = 5 THEN '-inf'::DOUBLE ELSE r.best END, CASE WHEN s.score > r.best OR r.stale + 1 = 5 THEN 0 ELSE r.stale + 1 END, s.score <= r.best AND r.stale + 1 = 5
 FROM r JOIN s ON s.series = r.series AND s.i = r.i + 1) SELECT series, epoch AS mark FROM r WHERE mark""",

@@ -322,7 +322,8 @@ def _series(spark, sf_dir):
 
 
 def ema(spark, sf_dir):
-    return reports.moving_average(_series(spark, sf_dir), ["series"], "epoch", "score")
+    # A share that is no binary fraction, so that no value lies midway between two roundings.
+    return reports.moving_average(_series(spark, sf_dir), ["series"], "epoch", "score", span=13)
 
 
 def regeneration_marks(spark, sf_dir):
