@@ -94,10 +94,15 @@ class Profiles:
         self.number: dict[str, int] = {}
         self.names: list[str] = []
         self.words: dict[str, np.ndarray] = {}
+        self.old: dict[str, np.ndarray] = {}
 
     def _grams(self, word: str) -> np.ndarray:
         got = self.words.get(word)
         if got is None:
+            got = self.old.get(word)
+            if got is not None:
+                self.words[word] = got
+                return got
             ids = []
             for gram in ngrams(word, self.longest):
                 k = self.number.get(gram)
@@ -115,13 +120,16 @@ class Profiles:
         words = words_of(text or "")
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        if len(self.words) > self.most or len(self.names) > 5 * self.most:
-            self.number, self.names, self.words = {}, [], {}
+        if len(self.names) > 5 * self.most:
+            self.number, self.names, self.words, self.old = {}, [], {}, {}
+        elif len(self.words) > self.most:
+            self.old, self.words = self.words, {}
         parts = [self._grams(w) for w in words]
         ids = np.concatenate(parts)
         weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-        distinct, inverse = np.unique(ids, return_inverse=True)
-        counts = np.bincount(inverse, weights=weight).astype(np.int64)
+        sums = np.bincount(ids, weights=weight)  # one place for each n-gram that this model has numbered
+        distinct = np.flatnonzero(sums)
+        counts = sums[distinct].astype(np.int64)
         if len(distinct) > self.ranks:
             least = np.partition(counts, len(counts) - self.ranks)[len(counts) - self.ranks]
             keep = np.flatnonzero(counts >= least)
