@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -111,18 +112,27 @@ class Packer:
 class WordIds(dict):
     """The ids of space-separated words as little-endian 32-bit bytes, by a tokenizer that drops white space.
 
-    Such a tokenizer never joins characters across a space, so a text's ids are its words' ids in a row.
+    Such a tokenizer never joins characters across a space, so a text's ids are its words' ids in a row. It also never
+    joins a letter to a full stop or the like after it, and lower-cases, so a new word is looked up without those first.
+    When `most` words are held they become the old ones; an old word that is met again is held again.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].lower().isalpha():
+                return self[word[:-1]] + self[word[-1]]
+            if word.isascii() and not word.islower() and (low := word.lower()) != word and "<|" not in word:
+                return self[low]
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= 64:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -131,6 +141,12 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One for each tokenizer, kept by a Python worker from task to task."""
+    return WordIds(path)
+
+
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -146,7 +162,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
     end = int(end_id).to_bytes(4, "little")
 
     def pack(batches):
-        ids, packer = WordIds(tokenizer_path), Packer(limits, cut=True)
+        ids, packer = word_ids(tokenizer_path), Packer(limits, cut=True)
         first, out = TaskContext.get().partitionId() << 40, []
 
         def rows(pieces):
@@ -210,7 +226,7 @@ def conversation_lengths(turns: DataFrame, tokenizer_path: str, conv_col: str =
     """Tokens and loss-bearing tokens (those of loss_role) of each conversation, for pack_examples. Null text is empty."""
 
     def count(batches):
-        ids = WordIds(tokenizer_path)
+        ids = word_ids(tokenizer_path)
         for batch in slices(batches):
             n = [len(ids.of(t)) // 4 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([k if r else 0 for k, r in zip(n, batch.column(1).to_pylist(), strict=True)], pa.int64())], names=[conv_col, "n_tokens", "n_loss"])

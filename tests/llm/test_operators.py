@@ -76,6 +76,14 @@ def test_packing(docs, rows, none):
     assert packing.pack_documents(none, f"{TOKENIZERS}/word_bpe_49k.json").count() == 0
 
 
+def test_word_ids():
+    ids = packing.WordIds(f"{TOKENIZERS}/word_bpe_49k.json", most=50)
+    rng = random.Random(1)
+    odd = ["".join(rng.choice("aAbBİΣσß'sStT.,;:!?<|>endoftext|$%é1 \n") for _ in range(60)) for _ in range(1000)]
+    for text in [*odd, "<|endoftext|> x", "<|ENDOFTEXT|>.", "Don't. we'Re, I'M! it's.", "A<|startoftext|>B.", "ΟΔΟΣ."]:
+        assert ids.of(text) == np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @pytest.mark.parametrize("cut", [False, True])
 def test_vector_limits(cut):
     rng = random.Random(3)
