@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,8 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         self.unknown = self.types.index(UNKNOWN)
         self.longest = max(map(len, self.ids), default=1)
+        #: Neighbouring characters within pieces; no merge or piece ever crosses any others.
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.unknown_score = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces must not cross the start of a word")
@@ -109,11 +112,15 @@ class Model:
 
 
 class Encoder:
-    """Encodes words; keeps at most `most` of them, and as many verdicts on pairs of pieces."""
+    """Encodes words; keeps about `most` of them, and more verdicts on pairs of pieces.
 
-    def __init__(self, model: Model, most: int = 200_000):
+    When `most` words are held they become the old ones; an old word that is met again is held again.
+    """
+
+    def __init__(self, model: Model, most: int = 500_000):
         self.model, self.most = model, most
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.after: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.reused = self.visited = 0
@@ -185,15 +192,28 @@ class Encoder:
     def batch(self, texts: list[str]) -> list[tuple[int, bytes]]:
         """The number of marked words and the ids of each text, as little-endian 32-bit bytes."""
         split = [self.model.words(t) for t in texts]
-        fresh = sorted({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(fresh) > self.most:
-            self.known = {"": b""}
-            fresh = sorted({w for words in split for w in words})
+        if len(self.known) > self.most:
+            self.old, self.known = self.known, {}
+        missing = set().union(*split).difference(self.known)
+        back = [w for w in missing if w in self.old]
+        self.known.update((w, self.old[w]) for w in back)
+        missing.difference_update(back)
+        # A word whose last mark no piece joins to what stands before it is that word without it, and the mark.
+        ends = {w for w in missing if len(w) > 2 and w[-1] in ".,;:!?" and w[-2:] not in self.model.inside}
+        stems = {x for w in ends for x in (w[:-1], w[-1])}
+        fresh = sorted(stems.union(missing.difference(ends)).difference(self.known))
         for word, pieces in zip(fresh, self.encode_sorted(fresh), strict=True):
             self.known[word] = np.array(self.ids_of(pieces), "<u4").tobytes()
+        self.known.update((w, self.known[w[:-1]] + self.known[w[-1]]) for w in ends)
         return [(len(words), b"".join(map(self.known.__getitem__, words))) for words in split]
 
 
+@cache
+def kept_encoder(path: str, kind: int | None) -> Encoder:
+    """One for each model, kept by a Python worker from task to task."""
+    return Encoder(Model(path, kind))
+
+
 def decode(model: Model, ids) -> str:
     """The text of ids; bytes that are no UTF-8 become replacement characters."""
     data = b"".join(map(model.parts.__getitem__, ids))
@@ -210,8 +230,8 @@ def encode_documents(docs: DataFrame, model_path: str, kind: int | None = None,
     names = ["doc_id", "n_words", "n_ids", "n_byte_ids", "ids_crc32", "decoded_chars", "round_trip"]
 
     def run(batches):
-        model = Model(model_path, kind)
-        encoder = Encoder(model)
+        encoder = kept_encoder(model_path, kind)
+        model = encoder.model
         single = np.zeros(len(model.pieces), bool)
         single[list(model.bytes.values())] = True
         for batch in slices(batches, 512):
