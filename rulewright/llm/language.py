@@ -118,7 +118,8 @@ class Profiles:
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language, the first of equals, and how near: 1 for a list in the profile's own order, 0 for nothing in common."""
         words = words_of(text or "")
-        if not words or not self.langs:
+        # LETTERS also takes signs such as superscript digits, which alone aren't letters.
+        if not self.langs or not any(c.isalpha() for word in words for c in word):
             return UNKNOWN, 0.0
         if len(self.names) > 5 * self.most:
             self.number, self.names, self.words, self.old = {}, [], {}, {}

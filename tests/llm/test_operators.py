@@ -463,6 +463,12 @@ def test_language(docs, rows, none):
     assert language.held_out_predictions(none).count() == 0
 
 
+def test_signs_are_no_letters():
+    profiles = language.Profiles({"a": ["x"]})
+    assert [profiles.predict(t) for t in ("\u00b2 \u2167 \u00bd", "123_", "", None)] == [("und", 0.0)] * 4
+    assert profiles.predict("\u00b2 x")[0] == "a"
+
+
 def test_profiles_by_plain_counting(docs, rows):
     want = defaultdict(Counter)
     for i, t, lang, _ in rows:
