@@ -8,7 +8,7 @@ nearest profile names the language.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +24,8 @@ UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str) -> Counter:
-    return Counter(LETTERS.findall(text.lower()))
-
-
 def ngrams(word: str, longest: int = LONGEST):
+    """The n-grams of one word, as gram_counts() counts them."""
     padded = f"_{word}_"
     for n in range(1, longest + 1):
         for i in range(len(padded) - n + 1):
@@ -42,102 +39,126 @@ def ranked(counts: dict[str, int], ranks: int = RANKS) -> list[str]:
     return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:ranks]]
 
 
+@cache
+def letter_table() -> np.ndarray:
+    """For each code point, whether LETTERS takes it."""
+    every = "".join(map(chr, range(0xD800))) + " " * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+    out = np.zeros(0x110000, bool)
+    for m in LETTERS.finditer(every):
+        out[m.start() : m.end()] = True
+    return out
+
+
+def key_of(gram: str) -> int:
+    """An n-gram of at most three code points as a number, in code point order."""
+    return sum(ord(c) << (42 - 21 * i) for i, c in enumerate(gram))
+
+
+def gram_of(key: int) -> str:
+    return "".join(chr(c) for c in (key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF) if c)
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, at, np.concatenate([n for _, n in parts]))
+    return keys, sums
+
+
+def gram_counts(text: str, longest: int = LONGEST, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the n-grams (at most 3) of a text's words, in key order; a piece of the text at a time."""
+    points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+    letter = letter_table()[points]
+    last = np.concatenate([[False], letter[:-1]])
+    # "_" before the first word and after each: the words with one sign between them.
+    keep = letter | last
+    line = np.concatenate([[ord("_")], np.where(letter, points, ord("_"))[keep], [ord("_")] if len(letter) and letter[-1] else []]).astype(np.int64)
+    parts = []
+    for start in range(0, len(line), piece):
+        one = line[start : start + piece + 2]
+        most = min(piece, len(line) - start)
+        whole = one != ord("_")
+        keys = [(one[:most] << 42)[whole[:most]]]
+        if longest > 1:
+            keys.append(((one[:-1] << 42) | (one[1:] << 21))[:most])
+        if longest > 2:
+            keys.append(((one[:-2] << 42) | (one[1:-1] << 21) | one[2:])[whole[1:-1]] if len(one) > 2 else one[:0])
+        parts.append(np.unique(np.concatenate(keys), return_counts=True))
+    return merged(parts)
+
+
 def learn(rows: DataFrame, ranks: int = RANKS, longest: int = LONGEST, languages: int = LANGUAGES) -> dict[str, list[str]]:
-    """A profile for each language of rows (text, lang); counts cover all rows.
+    """A profile for each language of rows (text, lang); counts cover all rows. longest: 3 at most.
 
     What comes to the driver is bounded: ranks n-grams of each of at most `languages` languages.
     """
 
     def count(batches):
-        held: dict[str, Counter] = {}
+        waiting: dict[str, list[str]] = {}
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        chars = 0
+
+        def take():
+            for lang, texts in waiting.items():
+                found = gram_counts("\n".join(texts), longest)
+                held[lang] = merged([held[lang], found]) if lang in held else found
+            waiting.clear()
 
         def flush():
-            langs, grams, counts = [], [], []
-            for lang, words in held.items():
-                total: Counter = Counter()
-                for word, n in words.items():
-                    for gram in ngrams(word, longest):
-                        total[gram] += n
-                langs += [lang] * len(total)
-                grams += total.keys()
-                counts += total.values()
+            langs = [lang for lang, (keys, _) in held.items() for _ in range(len(keys))]
+            out = [pa.array(langs, pa.string()), *(pa.array(np.concatenate([pair[i] for pair in held.values()])) for i in (0, 1))]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
-
-        for batch in slices(batches, 512):
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, held.values())) > 200_000:
-                yield flush()
+            return pa.RecordBatch.from_arrays(out, names=["lang", "gram", "n"])
+
+        for batch in slices(batches, 64):
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                text = text.as_py()
+                waiting.setdefault(lang, []).append(text)
+                chars += len(text)
+                if chars > 1_000_000:
+                    take()
+                    chars = 0
+                    if sum(len(keys) for keys, _ in held.values()) > 200_000:
+                        yield flush()
+        take()
         if held:
             yield flush()
 
-    counts = rows.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    if longest > 3:
+        raise ValueError("n-grams have at most three letters")
+    counts = rows.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= ranks)
     size = top.groupBy("lang").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("grams"))
     found = size.orderBy(F.desc("size"), "lang").limit(languages).collect()
-    return {r.lang: [g.gram for g in r.grams] for r in sorted(found, key=lambda r: r.lang)}
+    return {r.lang: [gram_of(g.gram) for g in r.grams] for r in sorted(found, key=lambda r: r.lang)}
 
 
 class Profiles:
     """Profiles as a matrix: the rank of each known n-gram in each language."""
 
-    def __init__(self, profiles: dict[str, list[str]], ranks: int = RANKS, longest: int = LONGEST, most: int = 100_000):
-        self.langs, self.ranks, self.longest, self.most = list(profiles), ranks, longest, most
-        known = sorted({g for grams in profiles.values() for g in grams})
-        self.row = {g: i for i, g in enumerate(known)}
-        # One row more for n-grams that no profile has: out of place everywhere.
-        self.place = np.full((len(known) + 1, max(1, len(self.langs))), -1, np.int64)
+    def __init__(self, profiles: dict[str, list[str]], ranks: int = RANKS, longest: int = LONGEST):
+        self.langs, self.ranks, self.longest = list(profiles), ranks, longest
+        self.known = np.array(sorted({key_of(g) for grams in profiles.values() for g in grams}) or [0], np.int64)
+        # The rank of each known n-gram, or -1.
+        self.place = np.full((len(self.known), max(1, len(self.langs))), -1, np.int64)
         for k, grams in enumerate(profiles.values()):
-            for rank, gram in enumerate(grams):
-                self.place[self.row[gram], k] = rank
-        self.number: dict[str, int] = {}
-        self.names: list[str] = []
-        self.words: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def _grams(self, word: str) -> np.ndarray:
-        got = self.words.get(word)
-        if got is None:
-            got = self.old.get(word)
-            if got is not None:
-                self.words[word] = got
-                return got
-            ids = []
-            for gram in ngrams(word, self.longest):
-                k = self.number.get(gram)
-                if k is None:
-                    k = self.number[gram] = len(self.names)
-                    self.names.append(gram)
-                ids.append(k)
-            got = np.array(ids, np.int64)
-            if len(word) <= 40:
-                self.words[word] = got
-        return got
+            self.place[np.searchsorted(self.known, np.array([key_of(g) for g in grams], np.int64)), k] = np.arange(len(grams))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language, the first of equals, and how near: 1 for a list in the profile's own order, 0 for nothing in common."""
-        words = words_of(text or "")
+        text = text or ""
         # LETTERS also takes signs such as superscript digits, which alone aren't letters.
-        if not self.langs or not any(c.isalpha() for word in words for c in word):
+        if not self.langs or not any(map(str.isalpha, text)):
+            return UNKNOWN, 0.0
+        keys, counts = gram_counts(text, self.longest)
+        if not len(keys):
             return UNKNOWN, 0.0
-        if len(self.names) > 5 * self.most:
-            self.number, self.names, self.words, self.old = {}, [], {}, {}
-        elif len(self.words) > self.most:
-            self.old, self.words = self.words, {}
-        parts = [self._grams(w) for w in words]
-        ids = np.concatenate(parts)
-        weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-        sums = np.bincount(ids, weights=weight)  # one place for each n-gram that this model has numbered
-        distinct = np.flatnonzero(sums)
-        counts = sums[distinct].astype(np.int64)
-        if len(distinct) > self.ranks:
-            least = np.partition(counts, len(counts) - self.ranks)[len(counts) - self.ranks]
-            keep = np.flatnonzero(counts >= least)
-        else:
-            keep = np.arange(len(distinct))
-        own = sorted(((-c, self.names[k]) for c, k in zip(counts[keep].tolist(), distinct[keep].tolist(), strict=True)))[: self.ranks]
-        place = self.place[[self.row.get(g, -1) for _, g in own]]
+        own = keys[np.argsort(-counts, kind="stable")[: self.ranks]]  # keys are in order: so are those with equal counts
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        place = np.where((self.known[at] == own)[:, None], self.place[at], -1)
         cost = np.where(place < 0, self.ranks, np.abs(place - np.arange(len(own))[:, None])).sum(0)
         best = int(cost.argmin())
         return self.langs[best], float(1 - cost[best] / (self.ranks * len(own)))
@@ -150,7 +171,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]], id_col: str = "doc
     def run(batches):
         model = Profiles(profiles)
         for batch in slices(batches, 512):
-            got = [model.predict(t) for t in batch.column(1).to_pylist()]
+            got = [model.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

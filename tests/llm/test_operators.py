@@ -463,6 +463,15 @@ def test_language(docs, rows, none):
     assert language.held_out_predictions(none).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 1 << 20])
+def test_gram_counts(piece):
+    for text in ("", " ", "a", "a b", "  ab, abc_a-\u00e9t\u00e9 1a2 \U00020000\u0130\u03a3. ", "the cat the"):
+        want = sum((Counter(language.ngrams(w)) for w in re.findall(r"[^\W\d_]+", text.lower())), Counter())
+        keys, counts = language.gram_counts(text, piece=piece)
+        assert dict(zip(map(language.gram_of, keys.tolist()), counts.tolist(), strict=True)) == want
+        assert [language.gram_of(k) for k in keys.tolist()] == sorted(want)
+
+
 def test_signs_are_no_letters():
     profiles = language.Profiles({"a": ["x"]})
     assert [profiles.predict(t) for t in ("\u00b2 \u2167 \u00bd", "123_", "", None)] == [("und", 0.0)] * 4
