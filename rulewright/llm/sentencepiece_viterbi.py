@@ -78,6 +78,8 @@ class Model:
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         self.unknown = self.types.index(UNKNOWN)
+        self.begins = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        self.gain = {p: self.scores[i] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         #: Neighbouring characters within pieces; no merge or piece ever crosses any others.
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
@@ -102,12 +104,15 @@ class Model:
 
     def pairs(self, text: str) -> list[str]:
         """The pieces of a text by BPE merges: the best score first, of equals the leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda i: (self.scores[self.ids[parts[i] + parts[i + 1]]] if parts[i] + parts[i + 1] in self.ids else -np.inf, -i))
-            if parts[best] + parts[best + 1] not in self.ids:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        parts, none = list(text), -np.inf
+        gains = [self.gain.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while gains and (best := max(gains)) > none:
+            at = gains.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del gains[at]
+            for i in (at - 1, at):
+                if 0 <= i < len(gains):
+                    gains[i] = self.gain.get(parts[i] + parts[i + 1], none)
         return parts
 
 
@@ -122,6 +127,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.after: dict[tuple[str, str], bool] = {}
+        self.steps: dict[tuple[str, str], tuple[str, tuple[str, ...]]] = {}
         self.whole: dict[str, bool] = {}
         self.reused = self.visited = 0
 
@@ -139,42 +145,62 @@ class Encoder:
             self.whole[piece] = self.model.pairs(piece) == [piece]
         return self.whole[piece]
 
+    def _step(self, state: str, char: str) -> tuple[str, tuple[str, ...]]:
+        """The longest end of state and char that begins a piece, and the pieces that end there, the longest first.
+
+        A single character counts as a piece. state: the longest end of a prefix that begins a piece, as found before.
+        """
+        found = self.steps.get((state, char))
+        if found is None:
+            if len(self.steps) >= 5 * self.most:
+                self.steps.clear()
+            ends = state + char
+            pieces = tuple(p for n in range(len(ends), 0, -1) if n == 1 or ends[-n:] in self.model.ids for p in (ends[-n:],))
+            while ends and ends not in self.model.begins:
+                ends = ends[1:]
+            found = self.steps[state, char] = ends, pieces
+        return found
+
     def encode_sorted(self, words: list[str]):
         """Yields the pieces of each of the sorted words."""
-        model, last, score, before = self.model, [0], [0.0], ""
+        model, before = self.model, ""
+        # Of each prefix on the path: its last piece, its best score, and its longest end that begins a piece.
+        last, score, states = [""], [0.0], [""]
+        bpe, steps, after = model.kind == BPE, self.steps, self.after
         for word in words:
             shared = 0
             for a, b in zip(before, word, strict=False):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], score[shared + 1 :]
+            del last[shared + 1 :], score[shared + 1 :], states[shared + 1 :]
             self.reused, self.visited, before = self.reused + shared, self.visited + len(word) - shared, word
-            for end in range(shared + 1, len(word) + 1):
-                # last[end]: the length of the last piece of the prefix that ends here
-                if model.kind == BPE:
-                    for size in range(min(model.longest, end), 0, -1):
-                        piece = word[end - size : end]
-                        if size > 1 and piece not in model.ids:
-                            continue
-                        at = end - size
+            state = states[-1]
+            for end, char in enumerate(word[shared:], shared + 1):
+                state, pieces = steps.get((state, char)) or self._step(state, char)
+                states.append(state)
+                if bpe:
+                    for piece in pieces:
+                        if at := end - len(piece):
+                            verdict = after.get((last[at], piece))
+                            if self._follows(last[at], piece) if verdict is None else verdict:
+                                break
                         # The first piece of a word has no piece before it and must itself come out whole.
-                        if self._follows(word[at - last[at] : at], piece) if at else self._whole(piece):
+                        elif self._whole(piece):
                             break
-                    last.append(size)
+                    last.append(piece)
                 else:
-                    best, size = -np.inf, 1
-                    for n in range(min(model.longest, end), 0, -1):
-                        k = model.ids.get(word[end - n : end])
-                        value = model.scores[k] if k is not None else model.unknown_score if n == 1 else None
-                        if value is not None and score[end - n] + value > best:
-                            best, size = score[end - n] + value, n
-                    last.append(size)
+                    best, chosen = -np.inf, char
+                    for piece in pieces:
+                        value = score[end - len(piece)] + model.gain.get(piece, model.unknown_score)
+                        if value > best:
+                            best, chosen = value, piece
+                    last.append(chosen)
                     score.append(best)
             pieces, end = [], len(word)
             while end:
-                pieces.append(word[end - last[end] : end])
-                end -= last[end]
+                pieces.append(last[end])
+                end -= len(last[end])
             yield pieces[::-1]
 
     def ids_of(self, pieces: list[str]) -> list[int]:
