@@ -10,13 +10,16 @@ bounded and a lost task is repeated alone. A task leaves at most one sequence sh
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,32 +116,93 @@ class WordIds(dict):
     """The ids of space-separated words as little-endian 32-bit bytes, by a tokenizer that drops white space.
 
     Such a tokenizer never joins characters across a space, so a text's ids are its words' ids in a row. It also never
-    joins a letter to a full stop or the like after it, and lower-cases, so a new word is looked up without those first.
-    When `most` words are held they become the old ones; an old word that is met again is held again.
+    joins a letter to the full stops or other signs after it, and lower-cases, so a new word is looked up without those
+    first. When `most` words are held, before the next texts, they become the old ones; an old word that is met again is
+    held again.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
+        #: The same merges for runs of lower-case ASCII words, which need no normalising.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].lower().isalpha():
-                return self[word[:-1]] + self[word[-1]]
-            if word.isascii() and not word.islower() and (low := word.lower()) != word and "<|" not in word:
-                return self[low]
+            if "<|" not in word:  # the tokenizer's own tokens are no words
+                stem = word.rstrip(punctuation)
+                if stem != word and stem[-1:].lower().isalpha():
+                    return self[stem] + self[word[len(stem) :]]
+                if word.isascii() and not word.islower() and (low := word.lower()) != word:
+                    return self[low]
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= 64:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
             self[word] = ids
         return ids
 
+    def learn(self, words: list[str]) -> None:
+        """Holds those of the distinct words that are letters, then signs: encoded without the signs and in long runs.
+
+        A run is cut where a token ends a word; one with more or fewer ends than words is encoded word by word.
+        """
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        old, stems = self.old, {}
+        for word in words:
+            if word not in self:
+                if word in old:
+                    self[word] = old[word]
+                elif (stem := word.rstrip(punctuation)).isalpha() and len(word) <= 64 and stem[-1].lower().isalpha():
+                    stems[word] = stem.lower() if stem.isascii() else stem
+        fresh = [w for w in set(stems.values()) if w not in self and w not in old]
+        for tokenizer, some in ((self.plain, [w for w in fresh if w.isascii()]), (self.tokenizer, [w for w in fresh if not w.isascii()])):
+            runs = [some[at : at + 256] for at in range(0, len(some), 256)]
+            for run, found in zip(runs, tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, "<u4")
+                cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+                if len(cuts) == len(run):
+                    data, at = ids.tobytes(), 0
+                    for word, cut in zip(run, cuts, strict=True):
+                        self[word], at = data[at:cut], cut
+        for word, stem in stems.items():
+            if word != stem:
+                self[word] = self[stem] + self[word[len(stem) :]] if len(word) > len(stem) else self[stem]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (and the last one's end). Distinct words are looked up once."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.learn(words)
+        found = list(map(self.__getitem__, words))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        size = sizes[at]
+        after = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.repeat(first[at] - after[:-1], size) + np.arange(after[-1])]
+        return ids, after[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
+
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.encode(pa.array([text]))[0].tobytes()
+
+
+def _stretches(batches, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of about `most` bytes of text, or of a longer text alone."""
+    for batch in batches:
+        ends, at = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 @cache
@@ -169,9 +233,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
             for (doc, data), start, length, _, sequence, offset in pieces:
                 out.append((doc, start, length, zlib.crc32(memoryview(data)[4 * start : 4 * (start + length)]), len(data) // 4, first + sequence, offset))
 
-        for batch in slices(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = ids.of(text) + end
+        for batch in _stretches(batches, 1):
+            flat, bounds = ids.encode(batch.column(1))
+            for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                data = flat[a:b].tobytes() + end
                 rows(packer.add((doc, data), len(data) // 4, len(data) // 4))
             if len(out) >= 8192:
                 yield _table(out, schema)
@@ -227,8 +292,8 @@ def conversation_lengths(turns: DataFrame, tokenizer_path: str, conv_col: str =
 
     def count(batches):
         ids = word_ids(tokenizer_path)
-        for batch in slices(batches):
-            n = [len(ids.of(t)) // 4 for t in batch.column(2).to_pylist()]
+        for batch in _stretches(batches, 2):
+            n = np.diff(ids.encode(batch.column(2))[1]).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([k if r else 0 for k, r in zip(n, batch.column(1).to_pylist(), strict=True)], pa.int64())], names=[conv_col, "n_tokens", "n_loss"])
 
     kind = turns.schema[conv_col].dataType.simpleString()
