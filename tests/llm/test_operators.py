@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,20 @@ def test_word_ids():
         assert ids.of(text) == np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_word_ids_of_many_texts():
+    ids = packing.WordIds(f"{TOKENIZERS}/word_bpe_49k.json", most=50)
+    rng = random.Random(2)
+    texts = ["", "a", *(" ".join("".join(rng.choice("abAéßİ") for _ in range(rng.randint(1, 6))) + rng.choice(["", ".", ",!", "###"]) for _ in range(rng.randint(0, 80))) for _ in range(600))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    cut = list(packing._stretches([batch.slice(3), batch.slice(0, 3), batch.slice(0, 0)], 0, most=1000))
+    assert sum(x.num_rows for x in cut) == len(texts) and max(x.num_rows for x in cut) > 1
+    for part in cut:
+        flat, bounds = ids.encode(part.column(0))
+        assert len(bounds) == part.num_rows + 1
+        for text, a, b in zip(part.column(0).to_pylist(), bounds[:-1], bounds[1:], strict=True):
+            assert flat[a:b].tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("cut", [False, True])
 def test_vector_limits(cut):
     rng = random.Random(3)
