@@ -355,6 +355,45 @@ def test_components_of_a_chain(spark):
     assert simhash.components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [500, 3])
+def test_near_copies_at_the_limit(spark, monkeypatch, crowd):
+    """Against every pair by brute force, with copies around a Jaccard index of 0.8, a chain, empty texts and copies."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(11)
+    words_ = [f"w{i}" for i in range(5000)]
+    texts, goal = [], {}
+    for i in range(120):
+        base = [rng.choice(words_) for _ in range(rng.choice((60, 200, 500)))]
+        copy = list(base)
+        for _ in range(rng.randint(1, max(2, len(base) // 35))):
+            copy[rng.randrange(len(copy))] = rng.choice(words_)
+        texts += [" ".join(base), " ".join(copy)]
+    step = [rng.choice(words_) for _ in range(200)]
+    for i in range(12):  # a chain: neighbours are similar, its ends are not
+        step = step[:-8] + [rng.choice(words_) for _ in range(8)] if i % 2 else [rng.choice(words_) for _ in range(8)] + step[8:]
+        texts.append(" ".join(step))
+    texts += ["", "one", "ONE", "two", texts[0], texts[0].upper(), None]
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := lower(t).split()) else set() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            one, two = shingles[a], shingles[b]
+            if one == two or 5 * len(one & two) >= 4 * len(one | two):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+                goal[a, b] = True
+    assert 60 < sum(1 for a, b in goal if a - b == 1) < 135
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    left = {r.doc_id for r in simhash.drop_near_duplicates(table).collect()}
+    assert left == {find(i) for i in range(len(texts))}
+
+
 def plain_license(text):
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))
     places, labels = [], set()
