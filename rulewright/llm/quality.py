@@ -27,17 +27,19 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = ["x0", "x1", "x2", "x3"]
 P = len(FEATURES)
 SYMBOLS = b"#*$%&|<>"
+#: Lines and words without repeats that are added to each document's: one repeat in a short text is no large share.
+MORE_LINES, MORE_WORDS = 4, 50
 
 
 @dataclass(frozen=True)
 class Robust:
-    """share: of a group's documents that an estimate is from. steps: of concentration. tail: chance of a regular document beyond the limit. least: documents of a group; smaller ones are pooled by language, and then left alone. floors: standard deviations in thousandths added to each statistic's own."""
+    """share: of a group's documents that an estimate is from. steps: of concentration. tail: chance of a regular document beyond the limit. least: documents of a group; smaller ones are pooled by language, and then left alone. floors: standard deviations in thousandths added to each statistic's own, about what counting noise is in texts of 50 words; each statistic alone can pass the limit."""
 
     share: float = 0.75
     steps: int = 4
-    tail: float = 1e-9
+    tail: float = 1e-5
     least: int = 50
-    floors: tuple[int, ...] = (80, 350, 150, 150)
+    floors: tuple[int, ...] = (60, 350, 50, 40)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -87,12 +89,12 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))], text_bytes(text_col).alias("text"))
     counted = rows.mapInArrow(run, f"doc_id {kind}, key binary, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
+    words = F.greatest(F.col("n_words"), F.lit(1))
     vector = [
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words),
         F.log1p(100 * F.col("n_symbols") / words),
-        F.col("n_dup_lines") / lines,
-        F.col("n_repeat_words") / words,
+        F.col("n_dup_lines") / (F.col("n_lines") + MORE_LINES),
+        F.col("n_repeat_words") / (F.col("n_words") + MORE_WORDS),
     ]
     return materialize(counted.select("*", *[F.round(1000 * v).cast("long").alias(n) for v, n in zip(vector, FEATURES, strict=True)], failed.alias("base_failed")))
 

@@ -452,6 +452,27 @@ def test_outliers(spark):
     assert all(out[i] for i, *_ in regular) and not any(out[i] for i, *_ in junk)
 
 
+def test_each_statistic_alone_rejects(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    line = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    regular = ["\n".join(line(rng.randint(8, 20)) for _ in range(rng.randint(5, 30))) for _ in range(300)]
+    twice = line(12)
+    regular += [f"{twice}\n{line(60)}\n{line(60)}\n{line(30)}\n{twice}"]  # one repeated line is no boilerplate
+    junk = ["\n".join([line(12) for _ in range(10)] + ["menu"] * 100), "\n".join([line(3) for _ in range(30)] + [line(1) + "\n" + line(1)] + ["more", "less"] * 12)]
+    for share in (0.4, 0.45):
+        again = [line(10) for _ in range(2)]
+        copies = round(200 * share) // 20
+        junk.append(" ".join([line(9) + " " + a for _ in range(copies) for a in again] + [line(200 - 2 * copies * 19)]))
+    junk += [" ".join(w * 2 for w in line(150).split()), line(150).replace(" ", " # ", 20)]
+    counts = [quality.statistics(t.encode()) for t in junk]
+    assert all(n >= 50 and 2 * again <= n for n, _, _, _, again, _ in counts) and [c[3] > 0 for c in counts] == [True, True, False, False, False, False]
+    texts = list(enumerate(regular + junk))
+    out = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame([(i, t, "en", "s") for i, t in texts], "doc_id long, text string, lang string, source string").repartition(4)).collect()}
+    assert [i for i, kept in out.items() if not kept and i < len(regular)] == []
+    assert [i - len(regular) for i, kept in out.items() if kept and i >= len(regular)] == []
+
+
 def test_concentration_is_the_plain_one(spark):
     rng = np.random.default_rng(2)
     x = np.round(rng.normal(1000, 200, (400, 4)) @ np.array([[1, 0.5, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0.3], [0, 0, 0, 1]])).astype(int)
