@@ -1,8 +1,11 @@
 """License scans by diagonal voting.
 
 Every rolling k-gram hash of every document is joined to the places where a template has it. Matches on one diagonal
-(document place less template place) vote together; neighbouring diagonals, moved apart by an inserted or a
-missing word, are merged; a span counts once the merged votes cover enough of both the template and the span.
+(document place less template place) vote together; the words around neighbouring diagonals, moved apart by an
+inserted or a missing word, are aligned with the template's, and a span counts if few enough words were edited.
+
+A template of m words with at most d edits is cut by them into d+1 pieces, so some piece of at least (m-d)/(d+1) words
+is whole: k is that for each template, and no span within the limit is without a vote.
 """
 
 from __future__ import annotations
@@ -40,6 +43,9 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+#: Words that name the kind of a license: an aligned span has just those of its template, whatever else was edited.
+KINDS = frozenset(b"nc nd sa noncommercial noderivs noderivatives sharealike lesser affero gnu apache mit mozilla bsd mpl gpl lgpl agpl".split())
+
 #: Words are runs of a-z, 0-9 and bytes over 0x7F, once A-Z is lower-cased.
 WORDS = separators_to_space(lambda b: b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)
 
@@ -108,51 +114,115 @@ def base_scan(docs: DataFrame, phrases=PHRASES, id_col: str = "doc_id", text_col
     return rows.mapInArrow(run, f"doc_id {kind}, key binary, n_words long, n_base long, first_word long, last_word long, base_labels array<string>")
 
 
-def gram_rows(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """key, place and gram of every rolling k-gram; a text of fewer words is one gram of a shorter length, with none."""
+def gram_rows(docs: DataFrame, sizes: list[int], id_col: str, text_col: str) -> DataFrame:
+    """key, k, place and gram of every rolling k-gram of each size; a text of fewer words has none."""
 
     def run(batches):
-        grams = Grams(k)
+        makers = [Grams(k) for k in sizes]
         for batch in slices(batches, 128):
-            found = [grams.of(words_of(t.as_buffer().to_pybytes())) for t in batch.column(1)]
-            sizes = [len(x) for x in found]
-            if not sum(sizes):
-                continue
-            place = np.concatenate([np.arange(n, dtype=np.int64) for n in sizes])
-            owner = pa.array(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(place), pa.array(np.concatenate(found))], names=["key", "place", "gram"])
+            texts = [words_of(t.as_buffer().to_pybytes()) for t in batch.column(1)]
+            for k, grams in zip(sizes, makers, strict=True):
+                found = [grams.of(words) for words in texts]
+                lengths = [len(x) for x in found]
+                if not sum(lengths):
+                    continue
+                place = np.concatenate([np.arange(n, dtype=np.int64) for n in lengths])
+                owner = pa.array(np.repeat(np.arange(len(lengths), dtype=np.int32), lengths))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(np.full(len(place), k, np.int64)), pa.array(place), pa.array(np.concatenate(found))], names=["key", "k", "place", "gram"])
 
     rows = docs.select(row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(run, "key binary, place long, gram long")
-
-
-def template_grams(spark, templates, k: int) -> tuple[DataFrame, int]:
-    grams, rows = Grams(k), []
-    for number, (label, text) in enumerate(templates):
-        found = grams.of(words_of(text.encode())).tolist()
-        rows += [(g, number, place, label, len(found)) for place, g in enumerate(found)]
-    return spark.createDataFrame(rows, "gram long, template int, at long, label string, grams long"), len(rows)
+    return rows.mapInArrow(run, "key binary, k long, place long, gram long")
+
+
+def edits_allowed(m: int, least: float) -> int:
+    return int((1 - least) * m + 1e-9)
+
+
+def gram_size(m: int, least: float, most: int) -> int:
+    """Words of a piece that any span within the edits allowed shares with a template of m words; `most` at most."""
+    d = edits_allowed(m, least)
+    return max(1, min(most, -(-(m - d) // (d + 1))))
+
+
+def template_grams(spark, templates, most: int, least: float) -> tuple[DataFrame, int, list[int]]:
+    """k, gram, template, at and need (the fewest votes that the edits allowed leave); how many; the sizes k."""
+    rows, sizes = [], set()
+    for number, (_, text) in enumerate(templates):
+        words = words_of(text.encode())
+        if not words:
+            continue
+        k = gram_size(len(words), least, most)
+        sizes.add(k)
+        found = Grams(k).of(words).tolist()
+        need = max(1, len(found) - k * edits_allowed(len(words), least))
+        rows += [(k, g, number, place, need) for place, g in enumerate(found)]
+    return spark.createDataFrame(rows, "k long, gram long, template int, at long, need long"), len(rows), sorted(sizes)
+
+
+def align(words: list[bytes], template: list[bytes], most: int) -> list[tuple[int, int, int]]:
+    """Spans (edits, first, last word) of the words within `most` edits of the template, that don't overlap; fewest edits first."""
+    unit, m = 1 << 32, len(template)
+    ids = {w: i for i, w in enumerate(dict.fromkeys(template))}
+    want = np.array([ids[w] for w in template])
+    climb = np.arange(m + 1, dtype=np.int64) * unit
+    # cost * unit less the first word: of equal costs the latest start, so the shortest span, is least
+    cost, ends = climb.copy(), []
+    for j, word in enumerate(words):
+        now = np.empty(m + 1, np.int64)
+        now[0] = -(j + 1)
+        np.minimum(cost[1:] + unit, cost[:-1] + np.where(want == ids.get(word, -1), 0, unit), out=now[1:])
+        cost = np.minimum.accumulate(now - climb) + climb
+        edits = -(-int(cost[m]) // unit)
+        if edits <= most:
+            ends.append((edits, j - (edits * unit - int(cost[m])) + 1, edits * unit - int(cost[m]), j))
+    out: list[tuple[int, int, int]] = []
+    # A span starts and ends as the template's kinds say; of equal edits the longest, so that no end is left off.
+    kinds = sorted(w for w in template if w in KINDS)
+    for edits, _, first, last in sorted(ends, key=lambda e: (e[0], -e[1], e[2])):
+        if all(last < f or first > e for _, f, e in out) and sorted(w for w in words[first : last + 1] if w in KINDS) == kinds:
+            out.append((edits, first, last))
+    return out
 
 
 def matches(docs: DataFrame, templates=TEMPLATES, k: int = 5, drift: int = 3, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verified spans: key, label, template, first and last place (words, last inclusive), similarity.
 
-    Neighbouring diagonals at most drift apart merge. similarity: the Jaccard index of the template's grams and the
-    span's, of which the distinct template places matched are common; spans under least are dropped. Templates of
-    fewer than k words are never matched. Repeated rows count once.
+    similarity: 1 less the share of the template's words that are edited (inserted, missing or other words); spans
+    under least are dropped, as are those whose KINDS differ. Grams have k words at most, fewer for short templates.
+    Windows around diagonals at most drift, or the edits allowed, apart are aligned as one. Repeated rows count once.
     """
-    index, size = template_grams(docs.sparkSession, templates, k)
+    index, size, sizes = template_grams(docs.sparkSession, templates, k, least)
     # The templates are a parameter of known size; a set too large to broadcast meets the grams in a shuffled join.
-    hits = gram_rows(docs, k, id_col, text_col).join(checked_broadcast(index, size), "gram")
-    votes = hits.select("key", "template", "label", "grams", "at", "place", (F.col("place") - F.col("at")).alias("diagonal"))
+    hits = gram_rows(docs, sizes, id_col, text_col).join(checked_broadcast(index, size), ["k", "gram"])
     # One row for each diagonal, merged before it is exchanged.
-    lines = votes.groupBy("key", "template", "label", "grams", "diagonal").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.collect_set("at").alias("ats"))
-    line = W.partitionBy("key", "template").orderBy("diagonal", "first")
-    far = (F.col("diagonal") - F.lag("diagonal").over(line) > drift) | (F.greatest(F.col("first"), F.lag("first").over(line)) - F.least(F.col("last"), F.lag("last").over(line)) > F.col("grams"))
-    merged = lines.withColumn("new", F.coalesce(far.cast("int"), F.lit(1))).withColumn("part", F.sum("new").over(line))
-    spans = merged.groupBy("key", "template", "label", "grams", "part").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("common"))
-    union = F.col("grams") + (F.col("last") - F.col("first") + 1) - F.col("common")
-    return spans.withColumn("similarity", F.col("common") / F.greatest(union, F.col("grams"))).where(F.col("similarity") >= least).select("key", "label", "template", "first", (F.col("last") + k - 1).alias("last"), "similarity")
+    lines = hits.groupBy("key", "template", "need", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
+    voted = lines.groupBy("key", "template", "need").agg(F.collect_list("diagonal").alias("diagonals"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes")).where("votes >= need")
+    found = materialize(voted.groupBy("key").agg(F.collect_list(F.struct("template", "diagonals")).alias("candidates")))
+    parts = [(label, words_of(text.encode())) for label, text in templates]
+
+    def run(batches):
+        for batch in slices(batches, 128):
+            out = []
+            for key, text, candidates in zip(*(batch.column(i) for i in range(3)), strict=True):
+                words, key = words_of(text.as_buffer().to_pybytes()), key.as_py()
+                for c in candidates.as_py():
+                    label, template = parts[c["template"]]
+                    d = edits_allowed(len(template), least)
+                    windows: list[list[int]] = []
+                    for at in sorted(c["diagonals"]):
+                        low, high = max(0, at - max(d, drift)), min(len(words), at + len(template) + max(d, drift))
+                        if windows and low <= windows[-1][1]:
+                            windows[-1][1] = high
+                        else:
+                            windows.append([low, high])
+                    for low, high in windows:
+                        out += [(key, label, c["template"], low + first, low + last, 1 - edits / len(template)) for edits, first, last in align(words[low:high], template, d)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.binary(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64()], strict=True)], names=["key", "label", "template", "first", "last", "similarity"])
+
+    rows = docs.select(row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
+    joined = rows.join(checked_broadcast(found), "key").select("key", "text", "candidates")
+    return joined.mapInArrow(run, "key binary, label string, template int, first long, last long, similarity double").distinct()
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = 5, drift: int = 3, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

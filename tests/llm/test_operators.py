@@ -420,6 +420,39 @@ def test_licenses(spark, docs, rows, none):
     assert licenses.scan(none).count() == 0
 
 
+def plain_edits(text, template):
+    """The fewest word edits between the template and any stretch of the text."""
+    a, b = licenses.words_of(template.encode()), licenses.words_of(text.encode())
+    row = [0] * (len(b) + 1)
+    for i, w in enumerate(a, 1):
+        new = [i]
+        for j, x in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (w != x)))
+        row = new
+    return min(row)
+
+
+def test_licenses_with_one_word_changed(spark):
+    rng = random.Random(4)
+    cases, goal = [], {}
+    for label, text in licenses.TEMPLATES:
+        w = text.split()
+        free = [i for i in range(1, len(w) - 1) if not set(licenses.words_of(w[i].encode())) & licenses.KINDS]
+        for i in rng.sample(free, min(3, len(free))):
+            for changed in (w[:i] + ["other"] + w[i + 1 :], w[:i] + ["other"] + w[i:], w[:i] + w[i + 1 :]):
+                doc = f"some words before {' '.join(changed)} and some after"
+                if 5 * plain_edits(doc, text) <= len(licenses.words_of(text.encode())):
+                    goal[len(cases)] = label
+                    cases.append(doc)
+    assert len(set(goal.values())) == len({x for x, _ in licenses.TEMPLATES})
+    sa, by = dict(licenses.TEMPLATES)["cc-by-sa"], dict(licenses.TEMPLATES)["cc-by"]
+    own = {sa.replace("4.0", "3.0"): "cc-by-sa", sa: "cc-by-sa", by: "cc-by", by.replace("Attribution", "Attribution-NonCommercial"): "", "Licensed under CC BY 4.0.": "cc-by", "of the License and under the terms of it": ""}
+    table = spark.createDataFrame(list(enumerate([*cases, *own])), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(table).collect()}
+    assert [(i, cases[i]) for i, label in goal.items() if label not in got[i].labels.split(",") or got[i].score < 0.8 or got[i].n_spans < 1] == []
+    assert [got[len(cases) + k].labels for k in range(len(own))] == list(own.values())
+
+
 def plain_quality(text):
     text = text or ""
     w = words(text)
