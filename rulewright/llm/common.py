@@ -2,35 +2,80 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of narrow rows (a key and a few numbers, under 200 bytes) that is broadcast.
 BROADCAST_ROWS = 100_000
+#: Shuffle partitions of a small result that are written as one file.
+TOGETHER = 8
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session (tests) gets one of its own."""
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if place is None and not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir().get()
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, small: bool = False) -> DataFrame:
     """df, computed once and written to the shared folder, so that a lost executor costs no recomputation.
 
-    Row numbers drawn in df (monotonically_increasing_id, spark_partition_id) are fixed from here on.
+    small: df has far fewer rows than the table it comes from (groups, keys, links), so TOGETHER shuffle partitions
+    share a file; a folder of nearly empty files costs more than their rows. Row numbers drawn in df
+    (monotonically_increasing_id, spark_partition_id) are fixed from here on.
     """
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    shared_dir(spark)
+    if small:
+        df = df.coalesce(max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // TOGETHER)))
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Gives memory that Python no longer uses back to the system, where the C library can: workers wait between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(work):
+    """A function for mapInArrow that releases its memory when a task ends."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [quoted(c) for c in df.columns]
+
+
 def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
@@ -57,13 +102,13 @@ def ascii_lower(column: Column) -> Column:
 
 def text_bytes(name: str) -> Column:
     """The UTF-8 bytes of a text column, null as empty."""
-    return F.coalesce(F.col(name).cast("string").cast("binary"), F.lit(b"").cast("binary"))
+    return F.coalesce(quoted(name).cast("string").cast("binary"), F.lit(b"").cast("binary"))
 
 
 def row_key(id_col: str, text_col: str) -> Column:
     """A digest of a row's id and text: the same for repeated rows, null and empty text alike."""
-    head = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("-"))
-    return F.unhex(F.sha2(F.concat(head, F.lit("\n"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary"), 256))
+    head = F.coalesce(F.concat(F.lit("="), quoted(id_col).cast("string")), F.lit("-"))
+    return F.unhex(F.sha2(F.concat(head, F.lit("\n"), F.coalesce(quoted(text_col).cast("string"), F.lit(""))).cast("binary"), 256))
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -78,12 +123,13 @@ def free_name(df: DataFrame, stem: str) -> str:
 def drop_keyed(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose row_key is in dropped (one binary column).
 
-    Few keys are broadcast after a count; more of them meet the rows in a shuffled anti join.
+    Few keys are broadcast after a count; more of them meet the rows in a shuffled anti join. A null id or text has a
+    key like any other; rows that repeat have one key and go together. No rows, or no keys: docs as it is.
     """
     name = free_name(docs, "key")
-    keys = materialize(dropped.toDF(name).distinct())
+    keys = materialize(dropped.toDF(name).distinct(), small=True)
     keyed = docs.withColumn(name, row_key(id_col, text_col))
-    return keyed.join(checked_broadcast(keys), name, "left_anti").select(*docs.columns)
+    return keyed.join(checked_broadcast(keys), name, "left_anti").select(*columns_of(docs))
 
 
 def slices(batches, rows: int = 256):
@@ -93,6 +139,17 @@ def slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+def stretches(batches, column: int, most: int = 4 << 20):
+    """Arrow batches in slices of about `most` bytes of the strings in a column, or of a longer one alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        ends, at = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def separators_to_space(keep) -> bytes:
     """A table for bytes.translate: A-Z to a-z, bytes that keep() refuses to a space."""
     return bytes(ord(" ") if not keep(b) else b + 32 if 65 <= b <= 90 else b for b in range(256))

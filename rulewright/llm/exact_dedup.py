@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import checked_broadcast, free_name, materialize, text_bytes
+from rulewright.llm.common import checked_broadcast, columns_of, free_name, materialize, quoted, text_bytes
 
 KEY = ["digest", "n_bytes", "witness"]
 
@@ -21,7 +21,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """A narrow row per document: doc_id, a row number, its run and the key of its text; materialized."""
     text = text_bytes(text_col)
     # Two steps, so that row and run are taken once each row's place is settled by the scan.
-    return materialize(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).alias("n_bytes"), F.xxhash64(text).alias("witness"), F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("row")))
+    key = [F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).alias("n_bytes"), F.xxhash64(text).alias("witness")]
+    place = [F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("row")]
+    return materialize(docs.select(quoted(id_col).alias("doc_id"), *key, *place))
 
 
 def tree_merge(rows: DataFrame, runs: int, fan_in: int = 16, keep: str = "largest") -> DataFrame:
@@ -31,7 +33,9 @@ def tree_merge(rows: DataFrame, runs: int, fan_in: int = 16, keep: str = "larges
     blocks = max(1, runs)
     while True:
         blocks = -(-blocks // fan_in)
-        level = level.groupBy(F.floor(F.col("run") / fan_in).cast("int").alias("run") if blocks > 1 else F.lit(0).alias("run"), *KEY).agg(best("top").alias("top"), F.sum("n").alias("n"))
+        block = F.floor(F.col("run") / fan_in).cast("int") if blocks > 1 else F.lit(0)
+        # A struct's maximum is aggregated over sorted rows: each task sorts and merges what it has before it sends it.
+        level = level.groupBy(block.alias("run"), *KEY).agg(best("top").alias("top"), F.sum("n").alias("n"))
         if blocks == 1:
             return level.drop("run")
 
@@ -45,8 +49,9 @@ def exact_duplicates(docs: DataFrame, fan_in: int = 16, keep: str = "largest", i
     """
     rows = digests(docs, id_col, text_col)
     runs = 1 + (rows.agg(F.max("run")).first()[0] or 0)
-    groups = tree_merge(rows, runs, fan_in, keep).where("n > 1")
-    joined = rows.join(groups, KEY, "left")  # the rows of a hot text can be split between tasks
+    # Written first: both sides of the join are then plain tables, so that a hot text's rows can be split between tasks.
+    groups = materialize(tree_merge(rows, runs, fan_in, keep).where("n > 1"), small=True)
+    joined = rows.join(groups, KEY, "left")
     alone = F.col("n").isNull()
     return joined.select(
         "doc_id",
@@ -60,22 +65,21 @@ def exact_duplicates(docs: DataFrame, fan_in: int = 16, keep: str = "largest", i
 def drop_exact_duplicates(docs: DataFrame, fan_in: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each text, all columns kept: the row with the largest doc_id, any one of repeated ids.
 
-    Only narrow rows take part in the search for copies; the dropped keys then meet the whole rows.
+    Only narrow rows take part in the search for copies; the dropped keys then meet the whole rows. Null texts are
+    copies of the empty one; a row without an id goes before any that has one. An empty table stays empty.
     """
-    name = free_name(docs, "key")
-    verdict = materialize(exact_duplicates(docs, fan_in, id_col=id_col, text_col=text_col).where("group_size > 1"))
+    sha, tie = free_name(docs, "key"), free_name(docs, "tie")
+    verdict = exact_duplicates(docs, fan_in, id_col=id_col, text_col=text_col).where("group_size > 1")
     keys = verdict.select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha"), "kept")
-    repeated = keys.groupBy("id", "sha").agg(F.count("*").alias("n"), F.max("kept").alias("stays"))
-    lost = materialize(repeated.where("not stays").select("id", "sha"))
-    tied = materialize(repeated.where("stays and n > 1").select("id", "sha"))
-    sha, tie = name, free_name(docs, "tie")
+    repeated = materialize(keys.groupBy("id", "sha").agg(F.count("*").alias("n"), F.max("kept").alias("stays")).where("n > 1 or not stays"), small=True)
+    lost, tied = repeated.where("not stays").select("id", "sha"), repeated.where("stays").select("id", "sha")
     with_sha = docs.withColumn(sha, F.unhex(F.sha2(text_bytes(text_col), 256)))
-    lost_keys = checked_broadcast(lost)
-    same = F.col(sha).eqNullSafe(F.col(f"l.sha")) & F.col(f"d.{id_col}").eqNullSafe(F.col("l.id"))
-    out = with_sha.alias("d").join(lost_keys.alias("l"), same, "left_anti")
+    same = F.col(f"d.{sha}").eqNullSafe(F.col("l.sha")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col("l.id"))
+    out = with_sha.alias("d").join(checked_broadcast(lost).alias("l"), same, "left_anti")
     if tied.isEmpty():
-        return out.select(*docs.columns)
+        return out.select(*columns_of(docs))
     marks = checked_broadcast(tied.withColumn(tie, F.lit(True)))
     marked = out.alias("d").join(marks.alias("l"), same, "left").select(*[F.col(f"d.`{c}`") for c in [*docs.columns, sha]], F.col(tie))
+    # Rows that repeat both id and text, of which any one stays; each task sends one of each.
     once = marked.where(F.col(tie)).dropDuplicates([id_col, sha])
-    return marked.where(F.col(tie).isNull()).unionByName(once).select(*docs.columns)
+    return marked.where(F.col(tie).isNull()).select(*columns_of(docs)).unionByName(once.select(*columns_of(docs)))

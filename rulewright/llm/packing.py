@@ -3,6 +3,8 @@
 Each sequence has three limits: tokens, segments and loss-bearing tokens. The next piece of a sequence is the
 waiting example whose demand has the largest dot product with what the sequence has left, both relative to the
 limits. If none fits and cutting is allowed, the longest waiting example is cut to fill the sequence exactly.
+Large examples win that product, so very short ones pile up; while they are most of those that wait, each sequence
+first takes the shortest, up to half of its segments.
 
 Every task packs the rows that it reads, from a window of waiting examples, so nothing is shuffled, memory is
 bounded and a lost task is repeated alone. A task leaves at most one sequence short of its limits.
@@ -24,9 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import slices, text_bytes
+from rulewright.llm.common import quoted, released, slices, stretches
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 EXAMPLE_SCHEMA = "start long, length long, loss_tokens long, sequence_id long, offset long"
 
 
@@ -86,11 +87,20 @@ class Packer:
         left = len(tokens)
         while left > leave:
             room, segments, loss_room, offset = most.tokens, most.segments, most.loss_tokens, 0
+            # Shorter than a sequence's mean piece if its segments run out together with its tokens.
+            short = np.flatnonzero(waiting & (tokens * most.segments < most.tokens))
+            first = most.segments // 2 if 2 * len(short) > left else 0
+            queue = short[np.argsort(tokens[short], kind="stable")][:first].tolist()[::-1]
             while left and room and segments:
                 fits = waiting & (tokens <= room) & (loss <= loss_room)
-                # The segment term is the same for each example: one segment against those left.
-                score = np.where(fits, tokens * (room / most.tokens**2) + loss * (loss_room / most.loss_tokens**2), -1.0)
-                k = int(score.argmax())
+                while queue and not fits[queue[-1]]:
+                    queue.pop()
+                if queue:
+                    k = queue.pop()
+                else:
+                    # The segment term is the same for each example: one segment against those left.
+                    score = np.where(fits, tokens * (room / most.tokens**2) + loss * (loss_room / most.loss_tokens**2), -1.0)
+                    k = int(score.argmax())
                 if fits[k]:
                     part, borne = int(tokens[k]), int(loss[k])
                 elif self.cut:
@@ -121,7 +131,7 @@ class WordIds(dict):
     held again.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 60_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
@@ -191,23 +201,17 @@ class WordIds(dict):
         ids = flat[np.repeat(first[at] - after[:-1], size) + np.arange(after[-1])]
         return ids, after[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def of(self, text: str) -> bytes:
         return self.encode(pa.array([text]))[0].tobytes()
 
 
-def _stretches(batches, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in slices of about `most` bytes of text, or of a longer text alone."""
-    for batch in batches:
-        ends, at = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64), 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-            yield batch.slice(at, to - at)
-            at = to
-
-
 @cache
 def word_ids(path: str) -> WordIds:
-    """One for each tokenizer, kept by a Python worker from task to task."""
+    """One for each tokenizer, kept by a Python worker from task to task; its words are forgotten after each."""
     return WordIds(path)
 
 
@@ -218,45 +222,57 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of a document: where it starts in the document's ids and where it lies in its sequence.
 
-    A document's ids are its text's, then end_id; every id bears loss. Null text is an empty one: just end_id.
-    Repeated rows and null ids are packed like any other. Other columns are ignored. No rows give no pieces.
+    A document's ids are its text's, then end_id; all but the first bear loss, since nothing before the first foretells
+    it. Null text is an empty one: just end_id. Repeated rows and null ids are packed like any other; ids keep their
+    type. Other columns are ignored. No rows give no pieces.
     """
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = pa.schema([(n, pa.int64()) for n in names])
     end = int(end_id).to_bytes(4, "little")
 
     def pack(batches):
         ids, packer = word_ids(tokenizer_path), Packer(limits, cut=True)
-        first, out = TaskContext.get().partitionId() << 40, []
+        first, out, handles, like = TaskContext.get().partitionId() << 40, [], [], None
 
         def rows(pieces):
             for (doc, data), start, length, _, sequence, offset in pieces:
-                out.append((doc, start, length, zlib.crc32(memoryview(data)[4 * start : 4 * (start + length)]), len(data) // 4, first + sequence, offset))
-
-        for batch in _stretches(batches, 1):
-            flat, bounds = ids.encode(batch.column(1))
-            for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                data = flat[a:b].tobytes() + end
-                rows(packer.add((doc, data), len(data) // 4, len(data) // 4))
-            if len(out) >= 8192:
-                yield _table(out, schema)
-                out.clear()
-        rows(packer.finish())
-        if out:
-            yield _table(out, schema)
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(pack, SCHEMA)
+                handles.append(doc)
+                out.append((start, length, zlib.crc32(memoryview(data)[4 * start : 4 * (start + length)]), len(data) // 4, first + sequence, offset))
+
+        def table():
+            done = pa.RecordBatch.from_arrays([pa.array(handles, like), *_table(out, schema).columns], names=["doc_id", *names])
+            out.clear(), handles.clear()
+            return done
+
+        try:
+            for batch in stretches(batches, 1):
+                like = batch.schema.types[0]
+                flat, bounds = ids.encode(batch.column(1))
+                for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    data = flat[a:b].tobytes() + end
+                    rows(packer.add((doc, data), len(data) // 4, len(data) // 4 - 1))
+                if len(out) >= 8192:
+                    yield table()
+            rows(packer.finish())
+            if out:
+                yield table()
+        finally:
+            ids.forget()
+
+    texts = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
+    return texts.mapInArrow(released(pack), f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: str, limits: Limits = Limits(), cut: bool = False) -> DataFrame:
     """Packs instruction examples of known length: id_col, start, length, loss_tokens, sequence_id, offset.
 
     Whole examples stay together unless cut is set or one is over a limit by itself. Null or negative counts are
-    zero, loss is at most the tokens, and an example without tokens gets no piece. Repeated rows count each.
+    zero, loss is at most the tokens, and an example without tokens gets no piece. Repeated rows count each. Ids keep
+    their type; an empty table gives no rows.
     """
     kind = examples.schema[id_col].dataType
-    pairs = examples.select(F.col(id_col), F.greatest(F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)), F.lit(0)).alias("__tokens"), F.greatest(F.coalesce(F.col(loss_col).cast("long"), F.lit(0)), F.lit(0)).alias("__loss"))
+    pairs = examples.select(quoted(id_col), *[F.greatest(F.coalesce(quoted(c).cast("long"), F.lit(0)), F.lit(0)).alias(n) for c, n in ((tokens_col, "__tokens"), (loss_col, "__loss"))])
 
     def pack(batches):
         packer, first, out, handles = Packer(limits, cut), TaskContext.get().partitionId() << 40, [], []
@@ -288,15 +304,23 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
 
 
 def conversation_lengths(turns: DataFrame, tokenizer_path: str, conv_col: str = "conv_id", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
-    """Tokens and loss-bearing tokens (those of loss_role) of each conversation, for pack_examples. Null text is empty."""
+    """Tokens and loss-bearing tokens (those of loss_role) of each conversation, for pack_examples.
+
+    Null text is empty; a null role bears no loss; turns without a conversation's id count as one conversation with a
+    null id. Repeated turns count each. An empty table gives no rows.
+    """
 
     def count(batches):
         ids = word_ids(tokenizer_path)
-        for batch in _stretches(batches, 2):
-            n = np.diff(ids.encode(batch.column(2))[1]).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([k if r else 0 for k, r in zip(n, batch.column(1).to_pylist(), strict=True)], pa.int64())], names=[conv_col, "n_tokens", "n_loss"])
+        try:
+            for batch in stretches(batches, 2):
+                n = np.diff(ids.encode(batch.column(2))[1])
+                borne = np.where(batch.column(1).to_numpy(zero_copy_only=False), n, 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(borne, pa.int64())], names=[conv_col, "n_tokens", "n_loss"])
+        finally:
+            ids.forget()
 
     kind = turns.schema[conv_col].dataType.simpleString()
-    texts = turns.select(conv_col, F.coalesce(F.col(role_col) == loss_role, F.lit(False)).alias("__borne"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    counts = texts.mapInArrow(count, f"`{conv_col}` {kind}, n_tokens long, n_loss long")
-    return counts.groupBy(conv_col).agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_loss").alias("n_loss"))
+    texts = turns.select(quoted(conv_col), F.coalesce(quoted(role_col) == loss_role, F.lit(False)).alias("__borne"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("__text"))
+    counts = texts.mapInArrow(released(count), f"`{conv_col}` {kind}, n_tokens long, n_loss long")
+    return counts.groupBy(quoted(conv_col)).agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_loss").alias("n_loss"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rulewright.llm.common import checked_broadcast, drop_keyed, materialize, row_key, separators_to_space, slices, text_bytes
+from rulewright.llm.common import checked_broadcast, drop_keyed, materialize, quoted, released, row_key, separators_to_space, slices, text_bytes
 
 BITS = 64
 #: A bucket with more distinct fingerprints is dealt out to more tasks.
@@ -64,8 +64,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42
 
     kind = docs.schema[id_col].dataType.simpleString()
     extra = [row_key(id_col, text_col).alias("key")] if with_key else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"), *extra)
-    return materialize(rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + ", key binary" * with_key))
+    rows = docs.select(quoted(id_col).alias("doc_id"), text_bytes(text_col).alias("text"), *extra)
+    return materialize(rows.mapInArrow(released(run), f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + ", key binary" * with_key))
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -161,13 +161,14 @@ def links(classes: DataFrame, radius: int = 2, words: int = 1, total: int | None
             if out:
                 yield table(out)
 
-    return dealt.repartition("v", "k", "bucket").sortWithinPartitions("v", "k", "bucket", "node").mapInArrow(search, "a long, b long")
+    return dealt.repartition("v", "k", "bucket").sortWithinPartitions("v", "k", "bucket", "node").mapInArrow(released(search), "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """node and root (the least node that it reaches) for each end of the edges (a, b: long).
+    """node and root (the least node that it reaches) for each end of the edges (a, b: long). No edges: no rows.
 
-    Large-star and small-star rounds on Spark, each written out; parts are joined within tasks first.
+    Large-star and small-star rounds on Spark, each written out; parts are joined within tasks first. The least
+    neighbours are written before they are joined, so that the rows of a node with very many can be split.
     """
 
     def merge(batches):
@@ -175,17 +176,18 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], names=["a", "b"])
 
-    now = materialize(edges.where("a != b").mapInArrow(merge, "a long, b long"))
+    now = materialize(edges.where("a != b").mapInArrow(released(merge), "a long, b long"), small=True)
     mark = None
     for _ in range(most_rounds):
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), small=True)
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))  # here a > b always
+        large = materialize(large, small=True)
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), small=True)  # here a > b always
         small = large.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y"), F.col("a").alias("z"))
         small = small.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("z").alias("a"), F.col("y").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
-        now = materialize(small)
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        now = materialize(small, small=True)
+        seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if seen == mark:
             roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
             return roots.union(now.select(F.col("b"), F.col("b"))).distinct()
@@ -207,7 +209,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seeds: t
     roots = components(links(classes.select("node", *names), radius, len(seeds), total))
     linked = roots.join(classes, "node").select(*names, "root", "least")
     merged = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(*names, "component_id")
-    every = classes.join(merged, names, "left").select(*names, F.coalesce("component_id", "least").alias("component_id"))
+    # Written first: the last join is one of plain tables, so that the rows of a hot fingerprint can be split.
+    every = materialize(classes.join(merged, names, "left").select(*names, F.coalesce("component_id", "least").alias("component_id")))
     shown = F.concat(*[F.lower(F.lpad(F.hex(n), 16, "0")) for n in names])
     return rows.join(every, names).select("doc_id", shown.alias("fingerprint"), "component_id", *(["key"] if with_key else []))
 
@@ -256,8 +259,8 @@ def banded(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFra
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array([bands_of(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "key", "digest", "bands"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
-    return materialize(rows.mapInArrow(run, f"doc_id {kind}, key binary, digest binary, bands array<long>"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
+    return materialize(rows.mapInArrow(released(run), f"doc_id {kind}, key binary, digest binary, bands array<long>"))
 
 
 def similar_links(least: float):
@@ -313,10 +316,10 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, shingle: int, least: floa
     members unconnected, every two parts meet. No candidate pair is left out and no task holds more than two parts.
     """
     keyed = classes.select("node", F.posexplode("bands").alias("v", "bucket"))
-    sizes = keyed.groupBy("v", "bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
-    buckets = materialize(sizes.groupBy("n", "mark", "low", "high").agg(F.min(F.struct("v", "bucket")).alias("b")).select("b.*", "n", F.monotonically_increasing_id().alias("gid")))
-    members = materialize(keyed.join(buckets, ["v", "bucket"]).select("gid", "n", "node"))
-    owners = materialize(members.select("node").distinct().join(classes.select("node", "key"), "node"))
+    sizes = keyed.groupBy("v", "bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+    buckets = materialize(sizes.groupBy("n", "mark", "low", "high").agg(F.min(F.struct("v", "bucket")).alias("b")).select("b.*", "n", F.monotonically_increasing_id().alias("gid")), small=True)
+    members = materialize(keyed.join(checked_broadcast(buckets), ["v", "bucket"]).select("gid", "n", "node"), small=True)
+    owners = materialize(members.select("node").distinct().join(classes.select("node", "key"), "node"), small=True)
 
     def run(batches):
         for batch in slices(batches, 256):
@@ -325,24 +328,23 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, shingle: int, least: floa
 
     texts = docs.select(row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text")).join(checked_broadcast(owners), "key").select("node", "text")
     # Repeated rows have the same key: one of them is enough.
-    sets = materialize(texts.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]))
+    sets = materialize(texts.mapInArrow(released(run), "node long, set binary").dropDuplicates(["node"]))
 
     def verify(parts: DataFrame) -> DataFrame:
         full = parts.join(sets, "node").select("gid", "part", "node", "set")
-        return materialize(full.repartition("gid", "part").sortWithinPartitions("gid", "part", "node").mapInArrow(similar_links(least), "a long, b long"))
+        return materialize(full.repartition("gid", "part").sortWithinPartitions("gid", "part", "node").mapInArrow(released(similar_links(least)), "a long, b long"), small=True)
 
     small = members.where(F.col("n") <= CROWD).select("gid", F.lit("").alias("part"), "node")
     count = F.ceil(F.col("n") / CROWD).cast("int")
-    large = materialize(members.where(F.col("n") > CROWD).withColumn("count", count).withColumn("c", F.pmod(F.xxhash64("node"), F.col("count")).cast("int")))
-    none = large.isEmpty()
-    if none:
+    large = members.where(F.col("n") > CROWD).withColumn("count", count).withColumn("c", F.pmod(F.xxhash64("node"), F.col("count")).cast("int"))
+    if large.isEmpty():
         return verify(small)
     with_first = F.when(F.col("c") == 0, F.expr("transform(sequence(1, count - 1), x -> concat('0 ', x))")).otherwise(F.array(F.concat(F.lit("0 "), F.col("c"))))
     found = verify(small.unionByName(large.select("gid", F.explode(with_first).alias("part"), "node")))
     roots = components(found)
     rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = rooted.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gid")
-    rest = materialize(rooted.where("c > 0 and count > 2").join(open_, "gid", "left_semi").select("gid", "c", "count", "node"))
+    rest = materialize(rooted.where("c > 0 and count > 2").join(open_, "gid", "left_semi").select("gid", "c", "count", "node"), small=True)
     if rest.isEmpty():
         return found
     pairs = F.expr("transform(filter(sequence(1, count - 1), x -> x != c), x -> concat(least(x, c), ' ', greatest(x, c)))")
@@ -350,18 +352,22 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, shingle: int, least: floa
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the least doc_id; all columns kept. Repeats of that row all stay.
+    """docs with one document of each component, the least doc_id; all columns kept.
 
     Documents are linked if the Jaccard index of their sets of shingles is at least `least` (0.8 or more). Words and
-    short, empty or null texts are as in near_duplicates. Without an id, documents are passed over for the one kept.
+    short, empty or null texts are as in near_duplicates. Of repeated ids with different texts one stays, by row_key;
+    a row without an id stays only where no other is in its component. Rows that repeat the one that stays in both id
+    and text all stay. An empty table stays empty.
     """
     if not 0.8 <= least <= 1:
         raise ValueError("least must be between 0.8 and 1: the bands miss pairs that are less similar")
     rows = banded(docs, shingle, id_col, text_col)
-    classes = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("least")
+    grouped = rows.groupBy("digest").agg(first, F.first("bands").alias("bands"))
+    classes = materialize(grouped.select("digest", "least", "least.key", "bands", F.monotonically_increasing_id().alias("node")))
     roots = components(jaccard_links(docs, classes, shingle, least, id_col, text_col))
     linked = roots.join(classes.select("node", "digest", "least"), "node")
-    merged = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("digest", "component_id")
-    every = classes.select("digest", "least").join(merged, "digest", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
-    lost = rows.select("doc_id", "key", "digest").join(every, "digest").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("key")
+    merged = linked.join(linked.groupBy("root").agg(F.min("least").alias("best")), "root").select("digest", "best")
+    every = materialize(classes.select("digest", "least").join(merged, "digest", "left").select("digest", F.coalesce("best", "least")["key"].alias("stays")))
+    lost = rows.select("key", "digest").join(every, "digest").where("key != stays").select("key")
     return drop_keyed(docs, lost, id_col, text_col)
