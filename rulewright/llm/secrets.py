@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame operations only.
 
 Candidates are found by regular expressions in every whole text. Their hashes are then counted over the corpus by
-distinct repositories and owners: a value that many of them hold is a widely copied example (documentation, a test
-fixture), one that few hold looks like a live credential of its owner. Base kinds keep their spans either way;
+distinct repositories and owners: a value that many owners hold, or very many repositories, is a widely copied example
+(documentation, a test fixture); one that few owners hold looks like a live credential of theirs. Base kinds keep their spans either way;
 further kinds, less certain by themselves, are reported only where ownership says that they look live.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rulewright.llm.common import checked_broadcast, free_name, materialize, row_key
+from rulewright.llm.common import checked_broadcast, free_name, materialize, quoted, row_key
 
 
 @dataclass(frozen=True)
@@ -38,7 +38,8 @@ KINDS = (
     Kind("hex", r"[0-9a-f]{24,}", 0, 24, 0, base=True),
     Kind("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, 0),
     Kind("web", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29, 0),
-    Kind("private", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*", 0, 64, 0),
+    # Up to the END line, without which nothing tells a key from the prose after it.
+    Kind("private", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,20000}+-----END [A-Z ]{0,30}PRIVATE KEY-----", 0, 64, 0),
 )
 MASK = "<secret>"
 
@@ -64,10 +65,10 @@ def _found(text: Column, kind: Kind, order: int) -> Column:
 
 def candidates(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, id_col: str = "doc_id", text_col: str = "text", owner_cols: tuple[str, ...] = ()) -> DataFrame:
     """A narrow row per document: doc_id, key (of id and text), owner columns, found; materialized, so texts are scanned once."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
     found = F.concat(*[_found(F.col("text"), k, i) for i, k in enumerate(kinds)])
-    owners = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"owner{i}") for i, c in enumerate(owner_cols)]
-    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), *owners, text.alias("text"))
+    owners = [F.coalesce((quoted(c) if isinstance(c, str) else c).cast("string"), F.lit("")).alias(f"owner{i}") for i, c in enumerate(owner_cols)]
+    rows = docs.select(quoted(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), *owners, text.alias("text"))
     return materialize(rows.select("doc_id", "key", *[f"owner{i}" for i in range(len(owner_cols))], found.alias("found")))
 
 
@@ -89,15 +90,27 @@ def ownership(rows: DataFrame) -> DataFrame:
     return repos.join(owners, "hash")
 
 
-def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, repository_col: str = "source", owner_col: str | None = None, most_owners: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@dataclass(frozen=True)
+class Owners:
+    """Where a document's repository and owner stand, and how many distinct ones a live-looking value has at most.
+
+    A table of documents alone has no repositories: each document then counts as one (repository=None), its source owns it.
+    """
+
+    repository: str | None = None
+    owner: str = "source"
+    most_owners: int = 3
+    most_repositories: int = 100
+
+
+def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, owners: Owners = Owners(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_<kind> of each base kind, base_sha256, spans, n_live, n_shared.
 
-    Null text is empty: no spans. owner_col is the repository if not given; a null repository or owner is one of its
-    own. A candidate looks live if at most most_owners repositories and owners hold its value; n_live and n_shared
-    count all candidates by that. Repeated rows and copies have equal results and don't raise ownership by
-    themselves. Other columns are ignored; an empty table gives no rows.
+    Null text is empty: no spans. A null repository or owner is one of its own. A candidate looks live if its value is
+    in no more owners and repositories than Owners allows; n_live and n_shared count all candidates by that. Repeated
+    rows have equal results and don't raise ownership. Other columns are ignored; an empty table gives no rows.
     """
-    rows, marks = _marked(docs, kinds, repository_col, owner_col, most_owners, id_col, text_col)
+    rows, marks = _marked(docs, kinds, owners, id_col, text_col)
     names = F.array(*[F.lit(k.name) for k in kinds])
     base = F.col("kind") < sum(k.base for k in kinds)
     said = F.struct("start", "kind", F.concat_ws(":", names[F.col("kind")], "start", "stop").alias("said"))
@@ -115,19 +128,21 @@ def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, repository_col: str =
     )
 
 
-def _marked(docs, kinds, repository_col, owner_col, most_owners, id_col, text_col) -> tuple[DataFrame, DataFrame]:
-    rows = candidates(docs, kinds, id_col, text_col, (repository_col, owner_col or repository_col))
-    known = materialize(ownership(rows).select("hash", (F.greatest("repositories", "owners") <= most_owners).alias("live")))
+def _marked(docs, kinds, owners, id_col, text_col) -> tuple[DataFrame, DataFrame]:
+    rows = candidates(docs, kinds, id_col, text_col, (owners.repository or id_col, owners.owner))
+    live = (F.col("owners") <= owners.most_owners) & (F.col("repositories") <= owners.most_repositories)
+    known = materialize(ownership(rows).select("hash", live.alias("live")), small=True)
     # Both sides are plain tables, so Spark can split the rows of a value that many documents hold.
-    return rows, materialize(spans(rows, kinds)).join(checked_broadcast(known), "hash")
+    return rows, materialize(spans(rows, kinds), small=True).join(checked_broadcast(known), "hash")
 
 
-def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, repository_col: str = "source", owner_col: str | None = None, most_owners: int = 3, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", mask: str = MASK) -> DataFrame:
+def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, owners: Owners = Owners(), id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", mask: str = MASK) -> DataFrame:
     """docs with every reported span replaced by mask, all rows and columns kept; length_col follows the text.
 
-    Spans that overlap or touch are replaced as one. Rows without spans pass as they are, null text included.
+    Spans that overlap or touch are replaced as one. Rows without spans pass as they are, null text included; rows
+    that repeat are each replaced alike. An empty table stays empty.
     """
-    rows, marks = _marked(docs, kinds, repository_col, owner_col, most_owners, id_col, text_col)
+    rows, marks = _marked(docs, kinds, owners, id_col, text_col)
     told = marks.where((F.col("kind") < sum(k.base for k in kinds)) | F.col("live"))
     before = W.partitionBy("key").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy("key").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, 0)
@@ -137,12 +152,13 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, repository_col: str
     since = F.coalesce(F.lag("stop").over(W.partitionBy("key").orderBy("part")), F.lit(0).cast("long"))
     cuts = merged.withColumn("since", since).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "since"))).alias("cuts"), F.max("stop").alias("rest"))
     key, cut, rest = free_name(docs, "key"), free_name(docs, "cuts"), free_name(docs, "rest")
-    cuts = materialize(cuts.toDF(key, cut, rest))
-    joined = docs.withColumn(key, row_key(id_col, text_col)).join(checked_broadcast(cuts, limit=10_000), key, "left")
-    whole = F.col(f"`{text_col}`")
+    cuts = materialize(cuts.toDF(key, cut, rest), small=True)
+    places = cuts.agg(F.sum(F.size(cut) + 1)).first()[0] or 0  # a document may have very many
+    joined = docs.withColumn(key, row_key(id_col, text_col)).join(checked_broadcast(cuts, places), key, "left")
+    whole = quoted(text_col)
     piece = F.transform(F.col(cut), lambda x: F.concat(F.substring(whole, (x["since"] + 1).cast("int"), (x["start"] - x["since"]).cast("int")), F.lit(mask)))
     new = F.when(F.col(cut).isNull(), whole).otherwise(F.concat(F.array_join(piece, ""), F.substring(whole, (F.col(rest) + 1).cast("int"), F.lit(2**31 - 1))))
-    out = joined.withColumn(text_col, new)
-    if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col(cut).isNull(), F.col(length_col)).otherwise(F.char_length(F.col(f"`{text_col}`")).cast(docs.schema[length_col].dataType)))
-    return out.select(*docs.columns)
+    changed, marked = free_name(docs, "text"), F.col(cut).isNotNull()
+    out = joined.withColumn(changed, new)
+    size = lambda c: F.when(marked, F.char_length(changed).cast(docs.schema[c].dataType)).otherwise(quoted(c))
+    return out.select(*[F.col(changed).alias(c) if c == text_col else size(c).alias(c) if c == length_col else quoted(c) for c in docs.columns])
