@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rulewright.llm.common import slices
+from rulewright.llm.common import quoted, released, slices
 
-#: Ranks of a profile; longest n-gram; most languages that are learned (those with the most n-grams).
+#: Ranks of a profile; longest n-gram; most languages that may be learned: their profiles go to the driver and every task.
 RANKS, LONGEST, LANGUAGES = 300, 3, 1000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -93,7 +93,7 @@ def gram_counts(text: str, longest: int = LONGEST, piece: int = 1 << 20) -> tupl
 def learn(rows: DataFrame, ranks: int = RANKS, longest: int = LONGEST, languages: int = LANGUAGES) -> dict[str, list[str]]:
     """A profile for each language of rows (text, lang); counts cover all rows. longest: 3 at most.
 
-    What comes to the driver is bounded: ranks n-grams of each of at most `languages` languages.
+    What comes to the driver is bounded: ranks n-grams of each of at most `languages` languages; more are an error.
     """
 
     def count(batches):
@@ -129,10 +129,12 @@ def learn(rows: DataFrame, ranks: int = RANKS, longest: int = LONGEST, languages
 
     if longest > 3:
         raise ValueError("n-grams have at most three letters")
-    counts = rows.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.where("text is not null and lang is not null").select("text", "lang").mapInArrow(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= ranks)
     size = top.groupBy("lang").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("grams"))
-    found = size.orderBy(F.desc("size"), "lang").limit(languages).collect()
+    found = size.limit(languages + 1).collect()
+    if len(found) > languages:
+        raise ValueError(f"more than {languages} languages: raise the parameter if their profiles fit in memory")
     return {r.lang: [gram_of(g.gram) for g in r.grams] for r in sorted(found, key=lambda r: r.lang)}
 
 
@@ -174,12 +176,12 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]], id_col: str = "doc
             got = [model.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text")).mapInArrow(released(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):
     """Documents that nothing is learned from: crc32 of the id as text divides by 5. A null id counts as an empty one, and is held out."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    return F.crc32(F.coalesce(quoted(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def held_out_predictions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -187,6 +189,6 @@ def held_out_predictions(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null texts and languages teach nothing. Repeated rows count each. An empty table gives no rows.
     """
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out(id_col).alias("out"))
+    rows = docs.select(quoted(text_col).cast("string").alias("text"), quoted(lang_col).cast("string").alias("lang"), held_out(id_col).alias("out"))
     found = identify(docs, learn(rows.where("not out"), RANKS), id_col, text_col)
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

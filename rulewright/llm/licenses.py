@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rulewright.llm.common import checked_broadcast, materialize, row_key, separators_to_space, slices, text_bytes
+from rulewright.llm.common import checked_broadcast, materialize, quoted, released, row_key, separators_to_space, slices, stretches, text_bytes
 
 #: Values that are fixed: phrases of the base scan and their labels.
 PHRASES = (
@@ -41,6 +41,14 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("cc0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 )
 
 #: Words that name the kind of a license: an aligned span has just those of its template, whatever else was edited.
@@ -110,8 +118,8 @@ def base_scan(docs: DataFrame, phrases=PHRASES, id_col: str = "doc_id", text_col
             columns = zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.list_(pa.string())], strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in columns)], names=["doc_id", "key", "n_words", "n_base", "first_word", "last_word", "base_labels"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, key binary, n_words long, n_base long, first_word long, last_word long, base_labels array<string>")
+    rows = docs.select(quoted(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
+    return rows.mapInArrow(released(run), f"doc_id {kind}, key binary, n_words long, n_base long, first_word long, last_word long, base_labels array<string>")
 
 
 def gram_rows(docs: DataFrame, sizes: list[int], id_col: str, text_col: str) -> DataFrame:
@@ -119,7 +127,7 @@ def gram_rows(docs: DataFrame, sizes: list[int], id_col: str, text_col: str) ->
 
     def run(batches):
         makers = [Grams(k) for k in sizes]
-        for batch in slices(batches, 128):
+        for batch in stretches(batches, 1, 1 << 20):
             texts = [words_of(t.as_buffer().to_pybytes()) for t in batch.column(1)]
             for k, grams in zip(sizes, makers, strict=True):
                 found = [grams.of(words) for words in texts]
@@ -131,7 +139,7 @@ def gram_rows(docs: DataFrame, sizes: list[int], id_col: str, text_col: str) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(np.full(len(place), k, np.int64)), pa.array(place), pa.array(np.concatenate(found))], names=["key", "k", "place", "gram"])
 
     rows = docs.select(row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(run, "key binary, k long, place long, gram long")
+    return rows.mapInArrow(released(run), "key binary, k long, place long, gram long")
 
 
 def edits_allowed(m: int, least: float) -> int:
@@ -197,7 +205,7 @@ def matches(docs: DataFrame, templates=TEMPLATES, k: int = 5, drift: int = 3, le
     # One row for each diagonal, merged before it is exchanged.
     lines = hits.groupBy("key", "template", "need", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
     voted = lines.groupBy("key", "template", "need").agg(F.collect_list("diagonal").alias("diagonals"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes")).where("votes >= need")
-    found = materialize(voted.groupBy("key").agg(F.collect_list(F.struct("template", "diagonals")).alias("candidates")))
+    found = materialize(voted.groupBy("key").agg(F.collect_list(F.struct("template", "diagonals")).alias("candidates")), small=True)
     parts = [(label, words_of(text.encode())) for label, text in templates]
 
     def run(batches):
@@ -222,7 +230,7 @@ def matches(docs: DataFrame, templates=TEMPLATES, k: int = 5, drift: int = 3, le
 
     rows = docs.select(row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
     joined = rows.join(checked_broadcast(found), "key").select("key", "text", "candidates")
-    return joined.mapInArrow(run, "key binary, label string, template int, first long, last long, similarity double").distinct()
+    return joined.mapInArrow(released(run), "key binary, label string, template int, first long, last long, similarity double").distinct()
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = 5, drift: int = 3, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import slices
+from rulewright.llm.common import quoted, released, slices, stretches
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -117,12 +117,12 @@ class Model:
 
 
 class Encoder:
-    """Encodes words; keeps about `most` of them, and more verdicts on pairs of pieces.
+    """Encodes words; keeps about `most` of them (those of up to 64 characters), and more verdicts on pairs of pieces.
 
     When `most` words are held they become the old ones; an old word that is met again is held again.
     """
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = 100_000):
         self.model, self.most = model, most
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -231,7 +231,14 @@ class Encoder:
         for word, pieces in zip(fresh, self.encode_sorted(fresh), strict=True):
             self.known[word] = np.array(self.ids_of(pieces), "<u4").tobytes()
         self.known.update((w, self.known[w[:-1]] + self.known[w[-1]]) for w in ends)
-        return [(len(words), b"".join(map(self.known.__getitem__, words))) for words in split]
+        out = [(len(words), b"".join(map(self.known.__getitem__, words))) for words in split]
+        for word in [w for w in missing if len(w) > 64]:
+            del self.known[word]
+        return out
+
+    def forget(self) -> None:
+        """Drops the words; verdicts on pairs stay, since texts to come need the same ones."""
+        self.known, self.old = {}, {}
 
 
 @cache
@@ -257,10 +264,15 @@ def encode_documents(docs: DataFrame, model_path: str, kind: int | None = None,
 
     def run(batches):
         encoder = kept_encoder(model_path, kind)
-        model = encoder.model
+        try:
+            yield from encoded(batches, encoder, encoder.model)
+        finally:
+            encoder.forget()
+
+    def encoded(batches, encoder, model):
         single = np.zeros(len(model.pieces), bool)
         single[list(model.bytes.values())] = True
-        for batch in slices(batches, 512):
+        for batch in stretches(batches, 1):
             texts = batch.column(1).to_pylist()
             rows = []
             for text, (n_words, data) in zip(texts, encoder.batch(texts), strict=True):
@@ -271,8 +283,8 @@ def encode_documents(docs: DataFrame, model_path: str, kind: int | None = None,
             arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[6], pa.list_(pa.int32()))] * with_ids, names=names + ["ids"] * with_ids)
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, f"doc_id {kept}, n_words long, n_ids long, n_byte_ids long, ids_crc32 long, decoded_chars long, round_trip boolean" + ", ids array<int>" * with_ids)
+    texts = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
+    return texts.mapInArrow(released(run), f"doc_id {kept}, n_words long, n_ids long, n_byte_ids long, ids_crc32 long, decoded_chars long, round_trip boolean" + ", ids array<int>" * with_ids)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -284,4 +296,4 @@ def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id"
         for batch in slices(batches, 512):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(model, ids or []) for ids in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kept}, text string")
+    return encoded.select(quoted(id_col).alias("doc_id"), quoted(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kept}, text string")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import ascii_lower, checked_broadcast, materialize
+from rulewright.llm.common import ascii_lower, checked_broadcast, materialize, quoted
 
 
 @dataclass(frozen=True)
@@ -112,7 +112,7 @@ def pattern_index(urls: DataFrame, patterns=PATTERNS) -> DataFrame:
     wanted = checked_broadcast(table.select("token").distinct(), len(rows))
     counts = url_tokens(urls).where("token != ''").join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
     chosen = table.join(counts, "token", "left").groupBy("pattern", "regex", "allow").agg(F.min_by("token", F.struct(F.coalesce("urls", F.lit(0)), F.col("token"))).alias("token"))
-    return materialize(chosen.select("token", "regex", "allow"))
+    return materialize(chosen.select("token", "regex", "allow"), small=True)
 
 
 def pattern_verdicts(urls: DataFrame, patterns=PATTERNS) -> DataFrame:
@@ -129,7 +129,7 @@ def judge(pages: DataFrame, rules=PREFIX_RULES, patterns=PATTERNS, id_col: str =
     without :// has an empty host and path and fits no prefix rule; a null url is allowed. Each distinct url is judged
     once, so repeated rows have equal results. An empty table gives no rows; other columns are ignored.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    rows = pages.select(quoted(id_col).alias("page_id"), quoted(url_col).cast("string").alias("url"))
     urls = materialize(rows.where("url is not null").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
     known = materialize(urls.join(prefix_verdicts(urls, rules), "url", "left").join(pattern_verdicts(urls, patterns), "url", "left"))
     joined = rows.join(known, "url", "left")  # plain tables both: the rows of a url that many pages have can be split
