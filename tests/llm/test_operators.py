@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulewright.llm import exact_dedup, language, licenses, packing, quality, secrets, sentencepiece_viterbi, simhash, url_rules, warc
+from rulewright.llm.common import stretches
 from rulewright.llm.queries import TOKENIZERS, queries
 
 ODD = [(9001, None), (9002, ""), (9003, "   \n\t "), (9004, "one"), (9005, "Alpha beta GAMMA delta"), (9005, "Alpha beta GAMMA delta"), (9006, "alpha beta gamma delta"), (None, "no id here at all"), (9007, "x " * 30_000), (9008, "é" * 5000 + " ß ñ"), (9009, None)]
@@ -90,7 +91,7 @@ def test_word_ids_of_many_texts():
     rng = random.Random(2)
     texts = ["", "a", *(" ".join("".join(rng.choice("abAéßİ") for _ in range(rng.randint(1, 6))) + rng.choice(["", ".", ",!", "###"]) for _ in range(rng.randint(0, 80))) for _ in range(600))]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
-    cut = list(packing._stretches([batch.slice(3), batch.slice(0, 3), batch.slice(0, 0)], 0, most=1000))
+    cut = list(stretches([batch.slice(3), batch.slice(0, 3), batch.slice(0, 0)], 0, most=1000))
     assert sum(x.num_rows for x in cut) == len(texts) and max(x.num_rows for x in cut) > 1
     for part in cut:
         flat, bounds = ids.encode(part.column(0))
@@ -174,7 +175,7 @@ def test_warc(spark, data):
 
 
 def test_warc_assembly(spark):
-    rec = lambda i, k, to: (i, k, None, to, None, None, None, {"a": i})
+    rec = lambda i, k, to: (i, k, None, to, None, None, None, {"a": i}, None)
     records = spark.createDataFrame([rec("r1", "response", []), rec("q1", "request", ["r1"]), rec("m1", "metadata", ["q1"]), rec("q0", "request", ["r1"]), rec("r2", "response", ["q2"]), rec("q2", "request", []), rec("r3", "revisit", []), rec("m9", "metadata", ["gone"])], warc.RECORD)
     out = {r.capture_id: r for r in warc.assemble(records).collect()}
     assert set(out) == {"r1", "r2", "r3"}
@@ -506,25 +507,83 @@ def test_each_statistic_alone_rejects(spark):
     assert [i - len(regular) for i, kept in out.items() if kept and i >= len(regular)] == []
 
 
-def test_concentration_is_the_plain_one(spark):
+def plain_estimate(x, robust):
+    """The estimate of one group, from each start until no determinant falls; and which start won."""
+    n, floors = len(x), np.diag(np.square(np.array(robust.floors, float)))
+    consistent = robust.share / quality.chi2_cdf(quality.chi2_quantile(robust.share, 4), 6)
+    cut = lambda q, k: np.sort(x[:, k])[int(np.ceil(q * n)) - 1]
+    states = []
+    for q, spread in quality.STARTS:
+        width = [((cut(0.75, k) - cut(0.25, k)) / 1.349) ** 2 if spread else 0 for k in range(4)]
+        states.append((np.array([cut(q, k) for k in range(4)], float), np.diag([1 / (w + f) for w, f in zip(width, np.diag(floors), strict=True)]), np.inf))
+    names = list(range(len(states)))
+    for step in range(robust.steps):
+        fell, new = False, []
+        for mean, inverse, before in states:
+            d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+            bucket = np.minimum(4000, np.floor(100 * np.log1p(d))).astype(int)
+            near = bucket <= np.sort(bucket)[int(np.ceil(robust.share * n)) - 1]
+            cov = np.cov(x[near].T, bias=True) * consistent + floors
+            det = np.linalg.slogdet(cov)[1]
+            fell |= det < before - robust.settle
+            new.append((x[near].mean(0), np.linalg.inv(cov), det))
+        states = new
+        if step + 1 == min(robust.trial, robust.steps):
+            best = min(names, key=lambda k: (states[k][2], k))
+            states, names = [states[best]], [best]
+        elif step + 1 > robust.trial and not fell:
+            break
+    return (*states[0], names[0])
+
+
+@pytest.mark.parametrize("steps", [1, 12])
+def test_concentration_is_the_plain_one(spark, steps):
     rng = np.random.default_rng(2)
     x = np.round(rng.normal(1000, 200, (400, 4)) @ np.array([[1, 0.5, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0.3], [0, 0, 0, 1]])).astype(int)
     x[:60] += 5000
-    robust = quality.Robust(steps=2)
-    rows = spark.createDataFrame([("g", *map(int, r)) for r in x], "g string, x0 long, x1 long, x2 long, x3 long").repartition(5)
-    got = quality.fit(rows, robust).first().asDict()
-    floors, consistent = np.diag(np.square(np.array(robust.floors, float))), robust.share / quality.chi2_cdf(quality.chi2_quantile(robust.share, 4), 6)
-    cut = lambda q, k: np.sort(x[:, k])[int(np.ceil(q * 400)) - 1]
-    mean = np.array([cut(0.5, k) for k in range(4)], float)
-    inverse = np.diag([1 / (((cut(0.75, k) - cut(0.25, k)) / 1.349) ** 2 + robust.floors[k] ** 2) for k in range(4)])
-    for _ in range(robust.steps):
-        d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-        bucket = np.minimum(4000, np.floor(100 * np.log1p(d))).astype(int)
-        near = bucket <= np.sort(bucket)[int(np.ceil(robust.share * 400)) - 1]
-        mean, inverse = x[near].mean(0), np.linalg.inv(np.cov(x[near].T, bias=True) * consistent + floors)
-    assert np.allclose([got[f"m{i}"] for i in range(4)], mean)
-    assert np.allclose([[got[f"q{min(i, j)}{max(i, j)}"] for i in range(4)] for j in range(4)], inverse)
-    assert not near[:60].any()
+    two = np.round(np.concatenate([rng.normal(500, 30, (70, 4)), rng.normal(3000, 400, (30, 4))])).astype(int)
+    robust = quality.Robust(steps=steps, settle=0.0)
+    rows = spark.createDataFrame([(g, *map(int, r)) for g, rows in (("g", x), ("two", two)) for r in rows], "g string, x0 long, x1 long, x2 long, x3 long").repartition(5)
+    got = {r.g: r.asDict() for r in quality.fit(rows, robust).collect()}
+    for g, of in (("g", x), ("two", two)):
+        mean, inverse, det, start = plain_estimate(of, robust)
+        assert got[g]["start"] == start and got[g]["det"] == pytest.approx(det)
+        assert np.allclose([got[g][f"m{i}"] for i in range(4)], mean)
+        assert np.allclose([[got[g][f"q{min(i, j)}{max(i, j)}"] for i in range(4)] for j in range(4)], inverse)
+
+
+def test_verdicts_are_the_plain_ones(spark):
+    """kept and distance end to end: groups of their own, languages of small groups, and the corpus for the rest."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    line = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    plan = [("en", "a", 70), ("en", "b", 60), ("de", "a", 40), ("de", "b", 30), ("fr", "a", 5), (None, "z", 1)]
+    texts = [("\n".join(line(rng.randint(8, 20)) for _ in range(rng.randint(5, 20))), lang, source) for lang, source, n in plan for _ in range(n)]
+    texts += [("\n".join([line(12) for _ in range(10)] + ["menu"] * 100), *where) for where in (("en", "a"), ("de", "b"), ("fr", "a"))]
+    texts += [(" ".join(["#$%&|"] * 3 + [rng.choice(vocabulary) + "$%*" for _ in range(100)]), "xx", "own"), ("too short", "en", "a"), (None, "en", "a")]
+    table = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    robust = quality.Robust()
+    rows = [r for r in quality.document_statistics(table).collect() if not r.base_failed]
+    vectors = {r.doc_id: np.array([r.x0, r.x1, r.x2, r.x3], float) for r in rows}
+    both, alone = Counter((r.lang, r.source) for r in rows), Counter(r.lang for r in rows)
+    limit, estimates, want = quality.chi2_quantile(robust.tail, 4, upper=True), {}, {}
+    for r in rows:
+        if both[r.lang, r.source] >= robust.least:
+            key, members = (r.lang, r.source), [o for o in rows if (o.lang, o.source) == (r.lang, r.source)]
+        elif alone[r.lang] >= robust.least:
+            key, members = r.lang, [o for o in rows if o.lang == r.lang]
+        else:
+            key, members = "", rows
+        if key not in estimates:
+            estimates[key] = plain_estimate(np.array([vectors[o.doc_id] for o in members]), robust)
+        mean, inverse, _, _ = estimates[key]
+        want[r.doc_id] = (vectors[r.doc_id] - mean) @ inverse @ (vectors[r.doc_id] - mean)
+    got = {r.doc_id: r for r in quality.judge(table, robust).collect()}
+    assert len(got) == len(texts) and {len(k) for k in estimates if isinstance(k, tuple)} == {2} and {"de", ""} <= set(estimates)
+    for i, r in got.items():
+        assert (r.distance is None and not r.kept) if i not in want else (r.distance == pytest.approx(want[i]) and r.kept == (want[i] <= limit))
+    n = len(texts)
+    assert not any(got[i].kept for i in range(n - 6, n)) and sum(r.kept for r in got.values()) >= 0.97 * (n - 6)
 
 
 URLS = ["http://Example.ORG/es/x", "https://a.b.example.org/en/1", "https://example.org/en/2", "https://myexample.org/es/", "http://x.com/fr/a?b", "http://x.com/de/", "http://com/de/q", "http://example.org", "ftp://u@h:8/p#f", "no scheme", "", None, "http://a://b/c", "://example.org/es/", "http://x.net/login", "http://ads.x.net/", "http://docs.x.net/login", "http://x.net/a/casino/b", "http://x.net/a/casinos/b", "http://x.net/download/a/b.EXE", "x?y://com/de/", "http://example.org?/es/", "http://" + "a." * 3000 + "org/" + "b" * 5000]
