@@ -139,7 +139,7 @@ def slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
-def stretches(batches, column: int, most: int = 4 << 20):
+def stretches(batches, column: int, most: int = 1 << 20):
     """Arrow batches in slices of about `most` bytes of the strings in a column, or of a longer one alone."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)

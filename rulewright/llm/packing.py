@@ -131,7 +131,7 @@ class WordIds(dict):
     held again.
     """
 
-    def __init__(self, path: str, most: int = 60_000):
+    def __init__(self, path: str, most: int = 30_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 

@@ -315,10 +315,11 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, shingle: int, least: floa
     A bucket over CROWD is dealt out in parts: first each part with part 0, which joins most; if that leaves its
     members unconnected, every two parts meet. No candidate pair is left out and no task holds more than two parts.
     """
-    keyed = classes.select("node", F.posexplode("bands").alias("v", "bucket"))
-    sizes = keyed.groupBy("v", "bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
-    buckets = materialize(sizes.groupBy("n", "mark", "low", "high").agg(F.min(F.struct("v", "bucket")).alias("b")).select("b.*", "n", F.monotonically_increasing_id().alias("gid")), small=True)
-    members = materialize(keyed.join(checked_broadcast(buckets), ["v", "bucket"]).select("gid", "n", "node"), small=True)
+    keyed = classes.select("node", F.explode("bands").alias("bucket"))  # a bucket's number is hashed with its band's
+    # Counted within each task before anything is sent, so a bucket that very many share stays small. Most have one member.
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("n > 1")
+    buckets = materialize(sizes.groupBy("n", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n", F.monotonically_increasing_id().alias("gid")), small=True)
+    members = materialize(keyed.join(checked_broadcast(buckets), "bucket").select("gid", "n", "node"), small=True)
     owners = materialize(members.select("node").distinct().join(classes.select("node", "key"), "node"), small=True)
 
     def run(batches):
