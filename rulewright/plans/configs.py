@@ -6,30 +6,39 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from rulewright.functions.rules import Lit, Rule, complexity_check
-from rulewright.operators.population import BestLiteralStrategy, RandomStrategy
+from rulewright.functions.rules import OPERATORS, Lit, Rule, complexity_check, is_operator_type
+from rulewright.operators.population import RandomStrategy
 from rulewright.operators.sampling import Sampling
 from rulewright.operators.scoring import COUNT_SCORES
 from rulewright.operators.selection import TournamentSelection
+from rulewright.operators.variation import Mutation, Mutator
 
 
 @dataclass(frozen=True)
 class EvolutionConfig:
-    """score: a name of COUNT_SCORES or a function (predictions, labels[, sample_weight]). Children: see Evolution."""
+    """Settings of one evolution; children: see Evolution.
+
+    score: a name of COUNT_SCORES or a function (predictions, labels[, sample_weight]). strategies: Strategy objects, or a
+    function (data, score) that makes them for each population's data. literal_mutations, operator_mutations: functions
+    from the number of features to the mutations for nodes of that kind; the default sets if not given, over operator_types.
+    """
 
     score: str | Callable = "f1"
     population_size: int = 100
-    strategies: tuple = field(default_factory=lambda: (RandomStrategy(), BestLiteralStrategy(sample_size=0.5, feature_size=0.5)))
+    strategies: tuple | Callable = field(default_factory=lambda: (RandomStrategy(),))
     strategy_weights: tuple[float, ...] | None = None
     mutation_p: float = 0.1
     mutation_tries: int = 1
     mutation_operator_p: float = 0.5
+    literal_mutations: Callable[[int], tuple[Mutation, ...]] | None = None
+    operator_mutations: Callable[[int], tuple[Mutation, ...]] | None = None
+    operator_types: tuple[type, ...] = OPERATORS
     crossover_p: float = 0.7
     crossover_strategy: str = "random"
     crossover_tries: int = 1
     crossover_operator_p: float = 0.9
     selection: Any = field(default_factory=TournamentSelection)
-    max_complexity: int | None = 100
+    max_complexity: int | None = None
     check_valid: Callable[[Rule], bool] | None = None
     complexity_penalty: float = 0.0
     regeneration: bool = False
@@ -39,7 +48,7 @@ class EvolutionConfig:
     num_children: int = 0
     sampling: Sampling | None = None
     top_k: int = 10
-    feedback: str = "additive"
+    feedback: str = "multiplicative"
     feedback_strength: float = 0.1
     child_weights: str = "distinct"
 
@@ -49,6 +58,11 @@ class EvolutionConfig:
         checks = [c for c in (limit, self.check_valid) if c]
         return (lambda rule: all(c(rule) for c in checks)) if checks else None
 
+    def mutator(self, num_literals: int) -> Mutator:
+        """For a population with so many features."""
+        made = [make and make(num_literals) for make in (self.literal_mutations, self.operator_mutations)]
+        return Mutator(num_literals, self.mutation_p, self.mutation_tries, self.mutation_operator_p, self.operator_types, self.valid(), *made)
+
 
 def _int(what: str, value, least: int) -> None:
     if isinstance(value, bool) or not isinstance(value, int):
@@ -98,6 +112,11 @@ def validate_evolution(config: EvolutionConfig) -> EvolutionConfig:
         _int("top_k", config.top_k, 1)
         if config.top_k > config.population_size:
             raise ValueError("top_k must be at most population_size")
+    if not config.operator_types or not all(map(is_operator_type, config.operator_types)):
+        raise ValueError("operator_types must be operators")
+    for what in ("literal_mutations", "operator_mutations"):
+        if getattr(config, what) is not None and not callable(getattr(config, what)):
+            raise TypeError(f"{what} must be a function of the number of features")
     if config.check_valid is not None:
         if not callable(config.check_valid):
             raise TypeError("check_valid must be a function")
@@ -125,6 +144,9 @@ def validate_trainer(config: TrainerConfig) -> TrainerConfig:
 
 @dataclass(frozen=True)
 class ExperimentConfig:
+    """binarizer: an object with fit(df, label, categorical, keep) that gives a model with names() and transform(df, keep),
+    fitted on each fold's training rows in place of the own bins (num_bins, supervised)."""
+
     trainer: TrainerConfig = field(default_factory=TrainerConfig)
     num_runs: int = 30
     test_size: float = 0.2
@@ -133,6 +155,7 @@ class ExperimentConfig:
     base_seed: int = 0
     num_bins: int = 5
     supervised: bool = True
+    binarizer: Any = None
 
 
 def validate_experiment(config: ExperimentConfig) -> ExperimentConfig:
