@@ -1,7 +1,7 @@
 """Mixed columns to named boolean features.
 
-Booleans pass, categories become one feature for each value, numbers one for each bin. Fitting is at most three
-aggregations over the table; applying a fitted model is one projection, so only the columns in use are read.
+Booleans pass, categories become one feature for each value, numbers one for each bin. Fitting counts values, in two
+passes over the table and one for categories; applying a fitted model is one projection, so only the columns in use are read.
 """
 
 from __future__ import annotations
@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rulewright.operators.ordered import histogram, quantiles, running, stretch_cuts
 from rulewright.operators.tree_bins import tree_edges
 
 #: Edges are rounded to so many decimals, so that engines that interpolate differently agree.
 EDGE_DECIMALS = 6
+#: Values that the categories of a table may have together: each becomes a feature, and all of them go to the driver.
+CATEGORIES = 100_000
 
 
 @dataclass(frozen=True)
@@ -97,18 +100,54 @@ def finish_edges(inner: list[float]) -> list[float]:
     return [-np.inf, *sorted({round(float(x), EDGE_DECIMALS) for x in inner}), np.inf]
 
 
+def bin_shares(bins: int) -> list[float]:
+    return [i / bins for i in range(1, bins)]
+
+
 def quantile_edges(df: DataFrame, bins: dict[str, int]) -> dict[str, list[float]]:
-    """Edges at equal shares of each column's values, nulls and NaN left out; all columns in one aggregation.
+    """Edges at equal shares of each column's values, nulls and NaN left out; all columns at once.
 
     A column of at most one value has one bin. Ties give fewer bins.
     """
     if not bins:
         return {}
-    values = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in bins}
-    shares = {c: F.array(*[F.lit(i / n) for i in range(1, n)]) for c, n in bins.items()}
-    aggs = [x for i, (c, v) in enumerate(values.items()) for x in (F.percentile(v, shares[c]).alias(f"p{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}"))]
-    row = df.agg(*aggs).first()
-    return {c: finish_edges(row[f"p{i}"] if row[f"a{i}"] != row[f"b{i}"] else []) for i, c in enumerate(bins)}
+    counts = running(histogram(df, list(bins)), stretch_cuts(df, list(bins)))
+    inner: dict[str, list[float]] = {c: [] for c in bins}
+    for r in quantiles(counts, {c: bin_shares(n) for c, n in bins.items()}).collect():  # a row for each edge
+        inner[r.col].append(r.edge)
+    return {c: finish_edges(v) for c, v in inner.items()}
+
+
+def category_values(df: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = (), most: int = CATEGORIES) -> dict[tuple, list]:
+    """The distinct values of each column, sorted, by (by..., column); nulls have no feature. More than `most` in all are an error."""
+    found: dict[tuple, list] = {}
+    for c in columns:  # columns may have different types
+        rows = df.select(*by, F.col(f"`{c}`").alias("value")).where("value is not null").distinct().limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"column {c!r} has more than {most} categories: group rare ones first")
+        for r in rows:
+            found.setdefault((*(r[k] for k in by), c), []).append(r["value"])
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def feature_list(columns: list[str], edges: dict[str, list[float]], values: dict[str, list], precision: dict[str, int]) -> tuple[Feature, ...]:
+    """The features of columns in order: of categories (values), of numbers (edges), else of booleans."""
+    out: list[Feature] = []
+    taken: set[str] = set()
+
+    def add(name, source, kind, **more):
+        out.append(Feature(len(out), unique_name(name, taken), source, kind, **more))
+
+    for c in columns:
+        if c in values:
+            for v in values[c]:
+                add(f"{c}={v}", c, "category", category=v)
+        elif c in edges:
+            for low, high in zip(edges[c][:-1], edges[c][1:], strict=True):
+                add(bin_name(c, low, high, precision[c]), c, "bin", low=low, high=high)
+        else:
+            add(c, c, "bool")
+    return tuple(out)
 
 
 class Binarizer:
@@ -128,34 +167,24 @@ class Binarizer:
 
         Strings must be declared categorical; other types are refused.
         """
+        columns, numbers, declared = self.kinds(df, label, categorical, keep)
+        edges = quantile_edges(df, numbers) if label is None else {c: finish_edges(e) for c, e in tree_edges(df, numbers, label).items()}
+        seen = category_values(df, declared)
+        values = {c: seen.get((c,), []) for c in declared}
+        return BinarizerModel(tuple(columns), feature_list(columns, edges, values, self.precisions(numbers)), edges)
+
+    def precisions(self, numbers) -> dict[str, int]:
+        return {c: self.column_precision.get(c, self.precision) for c in numbers}
+
+    def kinds(self, df: DataFrame, label: str | None, categorical: tuple[str, ...], keep: tuple[str, ...]) -> tuple[list[str], dict[str, int], tuple[str, ...]]:
+        """df's feature columns, the bins of those that are numbers, and those that are categories. Other types than these and booleans are refused."""
         columns = [c for c in df.columns if c != label and c not in keep]
-        kinds = {c: df.schema[c].dataType for c in columns}
-        for c, kind in kinds.items():
+        types = {c: df.schema[c].dataType for c in columns}
+        for c, kind in types.items():
             if c not in categorical and not isinstance(kind, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)):
                 raise ValueError(f"column {c!r} of type {kind.simpleString()} is not supported: declare it categorical or cast it")
-        numbers = {c: self.column_strategy.get(c, self.num_bins) for c, k in kinds.items() if c not in categorical and not isinstance(k, T.BooleanType)}
-        edges = quantile_edges(df, numbers) if label is None else {c: finish_edges(tree_edges(df, c, label, n)) for c, n in numbers.items()}
-        values: dict[str, list] = {}
-        if declared := [c for c in columns if c in categorical]:
-            row = df.agg(*[F.collect_set(f"`{c}`").alias(f"c{i}") for i, c in enumerate(declared)]).first()
-            values = {c: sorted(row[f"c{i}"]) for i, c in enumerate(declared)}
-        features: list[Feature] = []
-        taken: set[str] = set()
-
-        def add(name, source, kind, **more):
-            features.append(Feature(len(features), unique_name(name, taken), source, kind, **more))
-
-        for c in columns:
-            if c in values:
-                for v in values[c]:
-                    add(f"{c}={v}", c, "category", category=v)
-            elif c in edges:
-                precision = self.column_precision.get(c, self.precision)
-                for low, high in zip(edges[c][:-1], edges[c][1:], strict=True):
-                    add(bin_name(c, low, high, precision), c, "bin", low=low, high=high)
-            else:
-                add(c, c, "bool")
-        return BinarizerModel(tuple(columns), tuple(features), edges)
+        numbers = {c: self.column_strategy.get(c, self.num_bins) for c, k in types.items() if c not in categorical and not isinstance(k, T.BooleanType)}
+        return columns, numbers, tuple(c for c in columns if c in categorical)
 
     def fit_transform(self, df: DataFrame, label: str | None = None, categorical: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> tuple[DataFrame, BinarizerModel]:
         model = self.fit(df, label, categorical, keep)

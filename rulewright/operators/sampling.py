@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -66,19 +67,37 @@ def CombinedSampling(feature_fraction: float, sample_fraction: float, replace: b
     return Sampling(feature_fraction, sample_fraction, replace)
 
 
-def hash_order(key: str, seed: int):
-    """An order of rows that looks random and is the same in any engine."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
+def hash_order(key: str, seed: int | Column) -> Column:
+    """An order of rows that looks random and is the same in any engine. seed: a number, or a column of strings."""
+    head = F.concat(seed, F.lit("|")) if isinstance(seed, Column) else F.lit(f"{seed}|")
+    return F.md5(F.concat(head, F.col(f"`{key}`").cast("string")).cast("binary"))
 
 
-def instance_partition(df: DataFrame, key: str, size: int, children: int, seed: int = 0) -> DataFrame:
-    """df with child (0, 1, ...): disjoint parts of exactly `size` rows in hash order; other rows are left out.
+def stratified_rank(df: DataFrame, key: str, label: str, seed: int | str, by: Sequence[str] = ()) -> DataFrame:
+    """df with rank (from 1, in hash order within its label, and group if by is given) and total (rows of that label).
 
-    Only keys are ranked: the first size*children of them, found in each task before one sorts the rest.
+    No task sorts a whole label: rows are ranked within 4096 stretches of the hash, and each stretch knows how many rows
+    come before it. seed: a number, or a column that has one.
     """
-    first = df.select(key, hash_order(key, seed).alias("__h")).orderBy("__h", key).limit(size * children)
-    ranked = first.withColumn("child", F.floor((F.row_number().over(W.orderBy("__h", key)) - 1) / size).cast("int"))
-    return df.join(ranked.select(key, "child"), key)
+    marked = df.withColumn("__h", hash_order(key, seed)).withColumn("__s", F.substring("__h", 1, 3))
+    parts = [*by, label]
+    counts = marked.groupBy(*parts, "__s").agg(F.count("*").alias("__n"))
+    place = W.partitionBy(*parts)
+    so_far = F.sum("__n").over(place.orderBy("__s").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")
+    before = counts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(parts)], F.col("__s").alias("__t"), so_far.alias("__b"), F.sum("__n").over(place).alias("total"))
+    same = marked["__s"] == before["__t"]
+    for i, c in enumerate(parts):
+        same = same & marked[c].eqNullSafe(before[f"__k{i}"])
+    # At most 4096 rows for each of two labels of a group; Spark broadcasts them if that is small.
+    joined = marked.join(before, same)
+    rank = F.row_number().over(W.partitionBy(*parts, "__s").orderBy("__h", key)) + F.col("__b")
+    return joined.withColumn("rank", rank).select(*df.columns, "rank", "total")
+
+
+def instance_partition(df: DataFrame, key: str, size: int, children: int, seed: int = 0) -> DataFrame:
+    """df with child (0, 1, ...): disjoint parts of exactly `size` rows in hash order; other rows are left out. key must be unique."""
+    ranked = stratified_rank(df.withColumn("__all", F.lit(True)), key, "__all", seed)
+    return ranked.where(F.col("rank") <= size * children).select(*df.columns, F.floor((F.col("rank") - 1) / size).cast("int").alias("child"))
 
 
 def feature_subset(features: DataFrame, size: int, seed: int = 0) -> DataFrame:

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulewright.functions.rules import POSTFIX, And, Lit, Or, Rule
-from rulewright.operators import population, sampling, scoring, tree_bins
+from rulewright.functions.rules import POSTFIX, And, Lit, Or, Rule, parse, swap
+from rulewright.operators import ordered, population, sampling, scoring, tree_bins
 from rulewright.operators.binarize import Binarizer, quantile_edges
+from rulewright.operators.population import BestLiteralStrategy, RandomStrategy
 from rulewright.operators.sampling import Sampling
 from rulewright.operators.scoring import LABEL, WEIGHT, collect, compress
 from rulewright.operators.selection import RouletteSelection, TournamentSelection
-from rulewright.plans import experiment, reports, results
+from rulewright.operators.variation import AddLiteral, Crossover, Delete, MutationError, Negate, PromoteLiteral, RemoveOperator, ReplaceLiteral, ReplaceOperator
+from rulewright.plans import evolve, experiment, reports, results
 from rulewright.plans.configs import EvolutionConfig, ExperimentConfig, TrainerConfig
-from rulewright.sources.tables import with_label
+from rulewright.sources.tables import payments, with_label
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 FLAG = "l_returnflag"
@@ -63,8 +66,15 @@ def load_target(spark, sf_dir):
 
 
 def typed_ingest(spark, sf_dir):
-    df = _read(spark, sf_dir, "events").withColumnRenamed("event_type", "kind")
-    return df.select("event_id", "value", (F.col("kind") == "error").alias("target"), (F.col("value") == 0).alias("zero"), F.coalesce(F.col("value") > 50, F.lit(False)).alias("large"))
+    """Line items as a payments log."""
+    zero = lambda c, when: F.when(when, 0.0).otherwise(F.col(c)).cast("float")
+    log = _read(spark, sf_dir, "lineitem").select(
+        F.col("l_linenumber").alias("step"), F.col("l_returnflag").alias("type"), F.col("l_extendedprice").cast("float").alias("amount"),
+        zero("l_quantity", F.col("l_discount") < 0.03).alias("oldbalanceOrg"), zero("l_tax", F.col("l_discount") < 0.05).alias("newbalanceOrig"),
+        zero("l_discount", F.col("l_quantity") < 10).alias("oldbalanceDest"), zero("l_quantity", F.col("l_quantity") < 20).alias("newbalanceDest"),
+        (F.col("l_linestatus") == "F").cast("int").alias("isFraud"),
+    )
+    return payments(log)
 
 
 def bool_passthrough(spark, sf_dir):
@@ -109,19 +119,22 @@ def constant_column_bin(spark, sf_dir):
 
 
 def feature_dictionary(spark, sf_dir):
-    df = _read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", (F.col("o_totalprice") > 1000).alias("big"))
-    return Binarizer().fit(df, None, ("o_orderpriority", "o_orderstatus")).dictionary(spark).select("feature_id", "name", "source_col", "kind", "category")
+    df = _read(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice", "o_orderstatus", (F.col("o_totalprice") > 1000).alias("big"))
+    return Binarizer(4, precision=2).fit(df, None, ("o_orderpriority", "o_orderstatus")).dictionary(spark).select("feature_id", "name", "source_col", "kind", "category")
 
 
 def tree_root_split(spark, sf_dir):
-    df = _lineitem(spark, sf_dir)
-    scores = tree_bins.split_scores(tree_bins.histogram(df.withColumn("y", F.col(FLAG) == "R"), "l_quantity", "y"))
-    return scores.orderBy(F.desc(F.round("gain", 6)), "x").limit(1).select(((F.col("x") + F.col("next_x")) / 2).alias("threshold"), F.round("gain", 6).alias("gain"))
+    df = _lineitem(spark, sf_dir).withColumn("y", F.col(FLAG) == "R")
+    counts = ordered.running(ordered.histogram(df, ["l_quantity"], label="y"), ordered.stretch_cuts(df, ["l_quantity"]))
+    scores = tree_bins.boundary_gains(counts, tree_bins.roots(counts))
+    best = scores.agg(F.max_by(F.struct("x", "gain"), F.struct(F.round("gain", 6), -F.col("x"))).alias("b")).select("b.*")
+    after = counts.join(F.broadcast(best.select(F.col("x").alias("at"))), F.col("x") > F.col("at")).groupBy("at").agg(F.min("x").alias("next"))
+    return best.join(F.broadcast(after), F.col("x") == F.col("at")).select(((F.col("x") + F.col("next")) / 2).alias("threshold"), F.round("gain", 6).alias("gain"))
 
 
 def tree_bins_q(spark, sf_dir):
     df = _read(spark, sf_dir, "documents").select("doc_id", "n_chars").join(_read(spark, sf_dir, "labels"), "doc_id").withColumn("y", F.col("quality") == 1)
-    return spark.createDataFrame([(i, float(t)) for i, t in enumerate(tree_bins.tree_edges(df, "n_chars", "y", 4))], "i int, threshold double")
+    return spark.createDataFrame([(i, float(t)) for i, t in enumerate(tree_bins.tree_edges(df, {"n_chars": 3}, "y")["n_chars"])], "i int, threshold double")
 
 
 def _evaluated(spark, sf_dir, rules):
@@ -158,7 +171,7 @@ def rule_postfix(spark, sf_dir):
 
 
 def rule_complexity(spark, sf_dir):
-    return _postfix_table(spark).select("rule_id", F.size("postfix").alias("complexity"))
+    return spark.createDataFrame([(k, len(r)) for k, r in enumerate(RULES)], "rule_id int, complexity int")
 
 
 def rule_remap(spark, sf_dir):
@@ -205,7 +218,9 @@ def population_topk(spark, sf_dir):
 
 
 def regularized_scores(spark, sf_dir):
-    return population_scores(spark, sf_dir).select("rule_id", F.round(F.col("f1") - 0.01 * F.log("complexity"), 6).alias("score"))
+    rows = sorted((r.rule_id, r.f1) for r in population_scores(spark, sf_dir).collect())  # a row a rule
+    scores = evolve.regularized([s for _, s in rows], RULES, 0.01)
+    return spark.createDataFrame([(k, round(float(s), 6)) for (k, _), s in zip(rows, scores, strict=True)], "rule_id int, score double")
 
 
 def population_summary(spark, sf_dir):
@@ -246,11 +261,32 @@ def stratified_kfold(spark, sf_dir):
     return experiment.stratified_folds(_orders(spark, sf_dir), "o_orderkey", LABEL, 5, 7)
 
 
+def _split_config(**more) -> ExperimentConfig:
+    return ExperimentConfig(TrainerConfig(_small(), 3, 2), num_runs=2, n_folds=3, base_seed=11, **more)
+
+
+def _marked(spark, sf_dir):
+    return experiment.mark_runs(_orders(spark, sf_dir), "o_orderkey", _split_config())
+
+
+def marked_runs(spark, sf_dir):
+    """Which rows of each run are test rows, and the folds of the others."""
+    return _marked(spark, sf_dir).select("run", "o_orderkey", "test", "fold")
+
+
 def fold_edges(spark, sf_dir):
-    """Edges of each fold's training rows: every row counts for all folds but its own, so one aggregation fits all."""
-    rows = stratified_kfold(spark, sf_dir).withColumn("fit", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("fit != fold")
-    edges = rows.groupBy("fit").agg(F.percentile("o_totalprice", F.array(*[F.lit(i / 5) for i in range(1, 5)])).alias("p"))
-    return edges.select(F.col("fit").alias("fold"), F.posexplode("p").alias("i", "edge")).select("fold", "i", F.round("edge", 6).alias("edge"))
+    """Edges of each run's and fold's training rows."""
+    edges, _ = experiment.fit_folds(_marked(spark, sf_dir), ["o_totalprice"], {"o_totalprice": 5}, (), False, 3)
+    rows = [(run, fit, i, round(e, 6)) for (run, fit, _), es in edges.items() for i, e in enumerate(sorted(es))]
+    return spark.createDataFrame(rows, "run int, fold int, i int, edge double")
+
+
+def fold_parts(spark, sf_dir):
+    """Compressed rows of each run, fold and part, as an experiment trains on them."""
+    rows = _marked(spark, sf_dir)
+    folds, compressed = experiment.prepare_folds(rows, _split_config(supervised=False), ["o_totalprice"], ())
+    task = spark.createDataFrame([(k, f.run, f.fold) for k, f in enumerate(folds)], "task int, run int, fold int")
+    return compressed.join(F.broadcast(task), "task").select("run", "fold", "part", LABEL, F.col("codes")[0].alias("bin"), WEIGHT)
 
 
 def fold_scores(spark, sf_dir):
@@ -299,21 +335,102 @@ def tournament_probabilities(spark, sf_dir):
 
 
 SCORES = [0.2, 0.8, 0.5, 0.5, 0.9, 0.1, 0.4, 0.7]  # four rules of the population, then four offspring
-PARENTS = [0, 3, 1, 5, 0, 1, 2, 4]  # two a child; the first four places are lent: two children, two rules each
+PARENTS = [(0, 3), (1, 5), (0, 1), (2, 4)]  # of each offspring; the first four places are lent: two children, two rules each
 
 
 def feedback_signal(spark, sf_dir):
-    scores = spark.createDataFrame(list(enumerate(SCORES)), "i int, s double")
-    parents = spark.createDataFrame(list(enumerate(PARENTS)), "j int, parent int")
-    total = scores.agg(F.avg("s").alias("mean"), F.min("s").alias("low"), F.max("s").alias("high"))
-    signal = scores.where("i >= 4").crossJoin(F.broadcast(total)).select((F.col("i") - 4).alias("child"), F.when(F.col("s") >= F.col("mean"), (F.col("s") - F.col("mean")) / (F.col("high") - F.col("mean"))).otherwise((F.col("s") - F.col("mean")) / (F.col("mean") - F.col("low"))).alias("signal"))
-    lent = parents.where("parent < 4").withColumn("child", F.floor(F.col("j") / 2).cast("int")).join(signal, "child")
-    return lent.groupBy(F.floor(F.col("parent") / 2).cast("int").alias("population"), (F.col("parent") % 2).alias("place")).agg(F.round(F.avg("signal"), 6).alias("feedback"))
+    found = evolve.feedback_signals(SCORES, 4, PARENTS, 4)
+    return spark.createDataFrame([(k // 2, k % 2, round(float(f), 6)) for k, f in enumerate(found)], "population int, place int, feedback double")
 
 
 def feedback_apply(spark, sf_dir):
-    rows = feedback_signal(spark, sf_dir)
-    return rows.select("population", "place", F.round(1 + 0.5 * F.col("feedback"), 6).alias("additive"), F.round(2 * (1 + 0.5 * F.col("feedback")), 6).alias("multiplicative"))
+    found = evolve.feedback_signals(SCORES, 4, PARENTS, 4).reshape(2, 2)
+    kinds = {kind: [evolve.apply_feedback(SCORES, f, kind, 0.5) for f in found] for kind in ("additive", "multiplicative")}
+    rows = [(c, i, round(float(kinds["additive"][c][i]), 6), round(float(kinds["multiplicative"][c][i]), 6)) for c in range(2) for i in range(len(SCORES))]
+    return spark.createDataFrame(rows, "population int, i int, additive double, multiplicative double")
+
+
+#: Rule, path, mutation, and what comes out (null: it can't be made). Trees of six features; replacing is between two, or two types.
+MUTATION_CASES = [
+    ("delete a child", "Or(0, And(1, 2), 3)", (0,), Delete(), "Or(And(1, 2), 3)"),
+    ("delete one of two", "Or(0, And(1, 2), 3)", (1, 1), Delete(), "Or(0, 3, 1)"),
+    ("delete an operator", "Or(0, ~And(1, 2), 3)", (1,), Delete(), "Or(0, 3)"),
+    ("delete the root", "And(0, 1)", (), Delete(), None),
+    ("delete a child of a root with two", "And(0, Or(1, 2))", (0,), Delete(), None),
+    ("negate a literal", "And(0, ~1)", (1,), Negate(), "And(0, 1)"),
+    ("negate the root", "And(0, 1)", (), Negate(), "~And(0, 1)"),
+    ("replace a literal", "And(0, ~1)", (1,), ReplaceLiteral(2), "And(0, ~0)"),
+    ("remove an operator", "Or(1, And(2, 3), 4)", (1,), RemoveOperator(), "Or(1, 4, 2, 3)"),
+    ("remove a negated operator", "~Or(1, ~And(2, 3))", (1,), RemoveOperator(), "~Or(1, 2, 3)"),
+    ("remove the root", "Or(1, 2)", (), RemoveOperator(), None),
+    ("replace an operator", "Or(1, ~And(2, 3))", (1,), ReplaceOperator(), "Or(1, ~Or(2, 3))"),
+    ("replace the root", "Or(1, 2)", (), ReplaceOperator(), "And(1, 2)"),
+    ("add a literal to all", "And(0, 1, Or(2, 3))", (), AddLiteral(2), None),
+]
+
+
+def mutation_cases(spark, sf_dir):
+    def outcome(rule, path, mutation):
+        try:
+            return str(mutation.apply(parse(rule), path, np.random.default_rng(0)))
+        except MutationError:
+            return None
+
+    return spark.createDataFrame([(name, rule, outcome(rule, path, m)) for name, rule, path, m, _ in MUTATION_CASES], "name string, rule string, outcome string")
+
+
+def random_mutations(spark, sf_dir):
+    """What holds for every draw: of 200 promoted and extended rules, how many have the old literal first, a new feature, and two or one nodes more."""
+    rng, rule = np.random.default_rng(5), parse("And(3, ~1, Or(0, 2))")
+    promoted = [PromoteLiteral(6).apply(rule, (1,), rng).at((1,)) for _ in range(200)]
+    added = [AddLiteral(6).apply(rule, (), rng) for _ in range(200)]
+    kept = sum(str(r.children[0]) == "~1" and len(r.children) == 2 and r.children[1].value != 1 for r in promoted)
+    fresh = sum(str(r).startswith("And(3, ~1, Or(0, 2), ") and r.children[3].value not in (3, 1) and len(r) == len(rule) + 1 for r in added)
+    return spark.createDataFrame([(kept, fresh, len({type(r) for r in promoted}), len({r.negated for r in promoted}))], "kept int, fresh int, kinds int, signs int")
+
+
+#: Two rules, a node of each, and both trees with these exchanged.
+SWAP_CASES = [
+    ("And(0, Or(1, 2))", (1,), "Or(3, ~4)", (1,), "And(0, ~4)", "Or(3, Or(1, 2))"),
+    ("And(0, Or(1, 2))", (), "Or(3, ~4)", (0,), "3", "Or(And(0, Or(1, 2)), ~4)"),
+    ("~And(0, 1)", (0,), "~Or(2, 3)", (), "~And(~Or(2, 3), 1)", "0"),
+]
+
+
+def crossover_cases(spark, sf_dir):
+    """Exchanged subtrees, the second rule's features renamed first."""
+    names = {k: k + 10 for k in range(6)}
+    rows = []
+    for k, (a, at, b, to, _, _) in enumerate(SWAP_CASES):
+        one, two = swap(parse(a), at, parse(b).remap(names), to)
+        rows.append((k, str(one), str(two)))
+    return spark.createDataFrame(rows, "k int, one string, two string")
+
+
+def crossover_pairs(spark, sf_dir):
+    """Pairs of 41 rules that all mate: 20, no rule twice; children of each and their parents."""
+    rules, crossover = [Lit(k) for k in range(41)], Crossover(1.0)
+    children, parents = crossover.apply(rules, np.random.default_rng(3))
+    apart = len({int(p) for p in parents.ravel()})
+    right = sum({c.value for c in children[i : i + 2]} == set(map(int, parents[i])) for i in range(0, len(children), 2))
+    return spark.createDataFrame([(len(children), apart, right)], "children int, apart int, exchanged int")
+
+
+def progress_cases(spark, sf_dir):
+    """A population's memory over a series of best scores: the best rule (later ones of equals), and epochs without progress."""
+    node = evolve.Population("root", 0, None, None, None, None)
+    rows = []
+    for epoch, score in enumerate([0.3, 0.5, 0.5, 0.4, 0.4, 0.6, 0.2]):
+        node.rules, node.scores = [Lit(epoch)], np.array([score])
+        node.remember(0)
+        rows.append((epoch, str(node.best), node.best_score, node.stale))
+    return spark.createDataFrame(rows, "epoch int, best string, best_score double, stale int")
+
+
+def fold_metrics(spark, sf_dir):
+    """Best scores of folds, from their generations: scores of thirteen epochs of two runs and three folds, some not validated."""
+    series = _series(spark, sf_dir).select((F.col("epoch") % 2).cast("int").alias("run"), (F.col("epoch") % 3).cast("int").alias("fold"), "epoch", F.col("score").alias("train_score"), F.when(F.col("epoch") % 5 == 0, F.col("score") - 1).alias("val_score"))
+    return results.fold_metrics(series)
 
 
 def _series(spark, sf_dir):
@@ -358,8 +475,9 @@ def results_join(spark, sf_dir):
 
 
 def key_difference(spark, sf_dir):
-    t = _result_tables(spark, sf_dir)
-    return reports.key_difference(t["a"], t["b"])
+    """Customers with orders of just one of two kinds."""
+    of = lambda kind: _read(spark, sf_dir, "orders").where(F.col("o_orderpriority") == kind).select(F.col("o_custkey").alias("dataset"))
+    return reports.key_difference(of("1-URGENT"), of("5-LOW"))
 
 
 def best_or_tied(spark, sf_dir):
@@ -373,8 +491,8 @@ def binary_datasets(spark, sf_dir):
     return pick(kinds)
 
 
-def _small(epochs=8, **more) -> EvolutionConfig:
-    return EvolutionConfig(population_size=40, **more)
+def _small(**more) -> EvolutionConfig:
+    return EvolutionConfig(population_size=40, strategies=(RandomStrategy(), BestLiteralStrategy(0.5, 0.5)), max_complexity=100, feedback="additive", **more)
 
 
 def _planted(spark, sf_dir):
@@ -387,9 +505,10 @@ GENERATIONS = T.StructType([T.StructField("path", T.StringType()), T.StructField
 
 
 def _evolved(spark, sf_dir, config, epochs):
-    import numpy as np
-
-    history = experiment.train(collect(_planted(spark, sf_dir)), TrainerConfig(config, epochs), np.random.default_rng(4))
+    held = collect(_planted(spark, sf_dir))
+    if held is None:
+        raise ValueError("too many compressed rows for the driver: train by run_experiment, which scores such tables on Spark")
+    history = experiment.train(held, TrainerConfig(config, epochs), np.random.default_rng(4))
     return spark.createDataFrame([(g.path, g.epoch, g.best_rule, float(max(g.train_scores))) for top in history.generations for g in top.flat()], GENERATIONS)
 
 
@@ -407,6 +526,15 @@ def experiment_end_to_end(spark, sf_dir):
     return experiment.run_experiment(df, "o_orderkey", "target", config, ("o_orderpriority",)).drop("generations")
 
 
+def experiment_parts(spark, sf_dir):
+    """How many rows, and positive ones, each run and fold trained on, was validated on and tested on."""
+    df = _orders(spark, sf_dir).withColumnRenamed(LABEL, "target")
+    out = experiment.run_experiment(df, "o_orderkey", "target", _split_config())
+    rows = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    there = lambda c: F.col(c)[0] + F.col(c)[2]
+    return out.select("run", "fold", *[x for c in ("train", "val", "test") for x in (rows(c).alias(f"{c}_rows"), there(c).alias(f"{c}_true"))])
+
+
 def rule_predict(spark, sf_dir):
     from rulewright.streaming.score import predict
 
@@ -421,7 +549,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         literal_eval, and_eval, or_eval, nested_eval, negated_operator, rule_postfix, rule_complexity, rule_remap, compress_weights, confusion_raw, confusion_weighted, f1_score, accuracy_score, f1_empty_cases,
         population_scores, population_scores_raw, population_topk, regularized_scores, population_summary, best_of_generation, literal_scores, best_literal, feature_sample, instance_partition,
         stratified_split, stratified_kfold, fold_edges, fold_scores, best_fold, run_summary, experiment_summary, run_statistics, box_stats, roulette_probabilities, tournament_probabilities,
-        feedback_signal, feedback_apply, ema, regeneration_marks, band_stats, peak_epoch, rank_picks, top_children, results_join, key_difference, best_or_tied, binary_datasets, rule_predict,
+        feedback_signal, feedback_apply, mutation_cases, random_mutations, crossover_cases, crossover_pairs, progress_cases, fold_metrics, marked_runs, fold_parts, experiment_parts, ema, regeneration_marks, band_stats, peak_epoch, rank_picks, top_children, results_join, key_difference, best_or_tied, binary_datasets, rule_predict,
         evolve_flat, evolve_hierarchical, experiment_end_to_end,
     ]
     return {"flagship": flagship, "quantile_edges": quantile_edges_q, "tree_bins": tree_bins_q} | {f.__name__: f for f in plain}

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from rulewright.operators.ordered import histogram, number, running, stretch_cuts
+
 
 def join_results(tables: dict[str, DataFrame], key: str = "dataset", value: str = "mean_test_score") -> DataFrame:
     """The value of each table, by the keys that all have."""
@@ -35,41 +37,59 @@ def band(df: DataFrame, by: Sequence[str], value: str, top: int | None = None, d
     return df.groupBy(*by).agg(F.round(F.avg(value), decimals).alias("mean"), F.round(F.stddev_pop(value), decimals).alias("std"))
 
 
-def ordered(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
-    """__series: the values of each group (its epochs) in order."""
-    return df.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: F.struct(x[order].alias("at"), x[value].cast("double").alias("value"))).alias("__series"))
+def _series(df: DataFrame, by: Sequence[str], order: str, value: str, result: str, work) -> DataFrame:
+    """Rows that work(frame sorted by order) gives for each series: one run's epochs, in one task."""
+    rows = df.select(*by, order, F.col(value).cast("double").alias("value"))
+    names = [x.split(" ")[0] for x in result.split(", ")]
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+
+    def each(frame):
+        out = work(frame.sort_values(order, kind="stable"))
+        for c in by:
+            out[c] = frame[c].iloc[0]
+        return out[[*by, *names]]
+
+    return rows.groupBy(*by).applyInPandas(each, f"{kinds}, {result}")
 
 
 def moving_average(df: DataFrame, by: Sequence[str], order: str, value: str, span: int = 15, decimals: int = 6) -> DataFrame:
     """The exponential moving average with share 2/(span+1), beginning with the first value."""
-    a = 2.0 / (span + 1)
-    step = lambda acc, x: F.struct(F.array_append(acc["out"], F.when(F.size(acc["out"]) == 0, x["value"]).otherwise(a * x["value"] + (1 - a) * acc["last"])).alias("out"), F.when(F.size(acc["out"]) == 0, x["value"]).otherwise(a * x["value"] + (1 - a) * acc["last"]).alias("last"))
-    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("last"))
-    series = ordered(df, by, order, value)
-    smooth = series.withColumn("ema", F.aggregate("__series", start, step)["out"])
-    return smooth.select(*by, F.explode(F.arrays_zip(F.col("__series").alias("s"), F.col("ema").alias("e"))).alias("z")).select(*by, F.col("z.s.at").alias(order), F.round("z.e", decimals).alias("ema"))
+
+    def smooth(frame):
+        return frame[[order]].assign(ema=frame["value"].ewm(span=span, adjust=False).mean())
+
+    found = _series(df, by, order, value, f"{order} {df.schema[order].dataType.simpleString()}, ema double", smooth)
+    return found.withColumn("ema", F.round("ema", decimals))
 
 
 def regeneration_marks(df: DataFrame, by: Sequence[str], order: str, value: str, patience: int) -> DataFrame:
     """Where a series went `patience` steps without a new best; the best is forgotten there."""
-    low = F.lit(float("-inf"))
-    better = lambda acc, x: x["value"] > acc["best"]
-    due = lambda acc, x: ~better(acc, x) & (acc["stale"] + 1 == patience)
-    step = lambda acc, x: F.struct(
-        F.when(due(acc, x), low).when(better(acc, x), x["value"]).otherwise(acc["best"]).alias("best"),
-        F.when(due(acc, x) | better(acc, x), 0).otherwise(acc["stale"] + 1).alias("stale"),
-        F.when(due(acc, x), F.array_append(acc["marks"], x["at"].cast("long"))).otherwise(acc["marks"]).alias("marks"),
-    )
-    start = F.struct(low.alias("best"), F.lit(0).alias("stale"), F.array().cast("array<bigint>").alias("marks"))
-    return ordered(df, by, order, value).select(*by, F.explode(F.aggregate("__series", start, step)["marks"]).alias("mark"))
+
+    def marks(frame):
+        best, stale, out = float("-inf"), 0, []
+        for at, x in zip(frame[order], frame["value"], strict=True):
+            best, stale = (x, 0) if x > best else (best, stale + 1)
+            if stale == patience:
+                out.append(at)
+                best, stale = float("-inf"), 0
+        return frame[frame[order].isin(out)][[order]].rename(columns={order: "mark"})
+
+    return _series(df, by, order, value, "mark long", marks)
 
 
 def rank_picks(df: DataFrame, key: str, value: str) -> DataFrame:
-    """best, q3, median, q1 and worst row by value: places n-1, 3n//4, n//2, n//4 and 0 from below."""
-    ranked = df.withColumn("k", F.row_number().over(W.orderBy(value, key)) - 1).withColumn("n", F.count("*").over(W.partitionBy()))
-    places = {"worst": F.lit(0), "q1": F.floor(F.col("n") / 4), "median": F.floor(F.col("n") / 2), "q3": F.floor(3 * F.col("n") / 4), "best": F.col("n") - 1}
-    picks = ranked.withColumn("pick", F.explode(F.array(*[F.struct(F.lit(p).alias("pick"), at.cast("long").alias("at")) for p, at in places.items()])))
-    return picks.where(F.col("k") == F.col("pick.at")).select(F.col("pick.pick").alias("pick"), key, value)
+    """best, q3, median, q1 and worst row by value, of equals by key: places n-1, 3n//4, n//2, n//4 and 0 from below.
+
+    Running sums find the values; only rows that share one of these are ranked by key.
+    """
+    counts = running(histogram(df, [value]), stretch_cuts(df, [value]))
+    places = {"worst": F.lit(0), "q1": F.floor(F.col("tn") / 4), "median": F.floor(F.col("tn") / 2), "q3": F.floor(3 * F.col("tn") / 4), "best": F.col("tn") - 1}
+    asked = F.array(*[F.struct(F.lit(p).alias("pick"), at.cast("long").alias("at")) for p, at in places.items()])
+    met = counts.withColumn("p", F.explode(asked)).where((F.col("p.at") < F.col("cn")) & (F.col("p.at") >= F.col("cn") - F.col("n")))
+    met = met.select("x", "p.pick", (F.col("p.at") - F.col("cn") + F.col("n") + 1).alias("place"))
+    alike = df.select(key, value).join(F.broadcast(met.select("x").distinct()), number(value) == F.col("x"), "left_semi")
+    ranked = alike.withColumn("k", F.row_number().over(W.partitionBy(value).orderBy(key)))
+    return ranked.join(F.broadcast(met), (number(value) == F.col("x")) & (F.col("k") == F.col("place"))).select("pick", key, value)
 
 
 def peak_epoch(df: DataFrame, by: Sequence[str], order: str = "epoch", value: str = "val_score") -> DataFrame:

@@ -48,10 +48,17 @@ PAYSIM = "step int, type string, amount float, nameOrig string, oldbalanceOrg fl
 
 
 def load_payments(spark: SparkSession, path: str) -> DataFrame:
-    """A simulated payments log: typed and pruned at the scan, with whether each party is outside the bank (no balance before or after)."""
-    df = spark.read.option("header", True).schema(PAYSIM).csv(path)
+    """A simulated payments log, typed and pruned at the scan: see payments()."""
+    return payments(spark.read.option("header", True).schema(PAYSIM).csv(path))
+
+
+def payments(log: DataFrame) -> DataFrame:
+    """The columns of a payments log that rules use, the target, and whether each party is outside the bank (no balance before or after)."""
     outside = lambda a, b: (F.col(a) == 0) & (F.col(b) == 0)
-    return df.select("type", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest", F.col("isFraud").cast("boolean").alias(TARGET), outside("oldbalanceOrg", "newbalanceOrig").alias("externalOrig"), outside("oldbalanceDest", "newbalanceDest").alias("externalDest"))
+    kept = ["type", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"]
+    target = F.col("isFraud").cast("boolean").alias(TARGET)
+    parties = [outside("oldbalanceOrg", "newbalanceOrig").alias("externalOrig"), outside("oldbalanceDest", "newbalanceDest").alias("externalDest")]
+    return log.select(*kept, target, *parties)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
