@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Stretches that a column's values are dealt out to.
-STRETCHES = 256
+STRETCHES = 64
 
 
 def number(column: str) -> Column:
@@ -28,6 +28,12 @@ def stretch_cuts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]
     return {c: sorted(set(row[f"c{i}"] or [])) for i, c in enumerate(columns)}
 
 
+def histogram_cuts(hist: DataFrame) -> dict[str, list[float]]:
+    """The same from a histogram that is held, by its distinct values."""
+    shares = F.array(*[F.lit(k / STRETCHES) for k in range(1, STRETCHES)])
+    return {r.col: sorted(set(r.cuts)) for r in hist.groupBy("col").agg(F.percentile_approx("x", shares, 1000).alias("cuts")).collect()}
+
+
 def histogram(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), label: str | None = None) -> DataFrame:
     """by, col, x, n and pos: rows of each value of each column, and those with a true label. Nulls and NaN are left out."""
     pairs = F.array(*[F.struct(F.lit(c).alias("col"), number(c).alias("x")) for c in columns])
@@ -36,12 +42,19 @@ def histogram(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), lab
     return each.groupBy(*by, "col", "x").agg(F.count("*").alias("n"), F.count_if("y").alias("pos"))
 
 
+def _place(cuts: list[float], first: int = 0) -> Column:
+    """How many of the sorted cuts are below x, by halving."""
+    if not cuts:
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(F.col("x") <= cuts[mid], _place(cuts[:mid], first)).otherwise(_place(cuts[mid + 1 :], first + mid + 1))
+
+
 def running(hist: DataFrame, cuts: dict[str, list[float]], by: Sequence[str] = ()) -> DataFrame:
     """hist with cn and cp (n and pos of all values up to x), tn and tp (of all), low and high (the extreme values)."""
     keys, stretch = [*by, "col"], F.lit(0)
     for c, at in cuts.items():
-        place = F.size(F.filter(F.array(*map(F.lit, at)), lambda cut: cut < F.col("x"))) if at else F.lit(0)
-        stretch = F.when(F.col("col") == c, place).otherwise(stretch)
+        stretch = F.when(F.col("col") == c, _place(at)).otherwise(stretch)
     marked = hist.withColumn("stretch", stretch)
     sums = marked.groupBy(*keys, "stretch").agg(F.sum("n").alias("sn"), F.sum("pos").alias("sp"), F.min("x").alias("low"), F.max("x").alias("high"))
     everything = W.partitionBy(*keys)  # a row for each stretch

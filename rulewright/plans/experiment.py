@@ -8,7 +8,7 @@ large for one.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from rulewright.functions.rules import Rule, parse
 from rulewright.operators import scoring
 from rulewright.operators.binarize import Binarizer, bin_shares, category_values, feature_list, finish_edges
-from rulewright.operators.ordered import histogram, number, quantiles, running, stretch_cuts
+from rulewright.operators.ordered import histogram, histogram_cuts, number, quantiles, running
 from rulewright.operators.sampling import stratified_rank
 from rulewright.operators.scoring import COUNT_SCORES, LABEL, WEIGHT, Matrix, Scorer, compress, confusion_matrix, prepare, score_rule
 from rulewright.operators.tree_bins import tree_thresholds
@@ -128,16 +128,17 @@ def fit_folds(rows: DataFrame, columns: list[str], numbers: dict[str, int], decl
                 seen.setdefault((run, fit, c), set()).update(values)
     edges: dict[tuple, list[float]] = {}
     if numbers:
-        counted = histogram(training, list(numbers), ("run", "fold"), LABEL)
+        counted = histogram(training, list(numbers), ("run", "fold"), LABEL).persist()
         each = counted.select("run", _other_folds(n_folds), "col", "x", "n", "pos")
         merged = each.groupBy(*keys, "col", "x").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-        counts = running(merged, stretch_cuts(rows, list(numbers)), keys).persist()
+        counts = running(merged, histogram_cuts(counted), keys).persist()
         if supervised:
             edges = tree_thresholds(counts, numbers, keys)
         else:
             for r in quantiles(counts, {c: bin_shares(n) for c, n in numbers.items()}, keys).collect():
                 edges.setdefault((r.run, r.fit, r.col), []).append(r.edge)
         counts.unpersist()
+        counted.unpersist()
     return edges, {k: sorted(v) for k, v in seen.items()}
 
 
@@ -278,7 +279,7 @@ def run_experiment(df: DataFrame, key: str, label: str, config: ExperimentConfig
     rows.unpersist()
     large = [k for k, fold in enumerate(folds) if sizes.get(k, 0) * max(1, len(fold.names)) > scoring.LOCAL_CELLS]
     small = [k for k in range(len(folds)) if k not in large]
-    share = spark.sparkContext.broadcast(cloudpickle.dumps((folds, config)))
+    share = spark.sparkContext.broadcast(cloudpickle.dumps((folds, replace(config, binarizer=None))))  # tasks fit no bins
     if progress is not None:
         progress.total += len(folds)
     epochs, done, each = (progress.epochs, progress.done, config.trainer.epochs) if progress is not None else (None, None, 0)

@@ -156,6 +156,9 @@ SELECT run, fit AS fold, CASE WHEN test THEN 2 WHEN fold = fit THEN 1 ELSE 0 END
         "best_fold": f"WITH {FOLD_ROWS} SELECT run, fold, round(best_val, 9) AS best_val FROM bf",
         "run_summary": f"WITH {FOLD_ROWS} SELECT run, fold, round(mean_val, 6) AS mean_val, round(mean_train, 6) AS mean_train, '[TP: ' || tp || ', FP: ' || fp || ', FN: ' || fn || ', TN: ' || tn || ']' AS confusion FROM bf",
         "experiment_summary": f"WITH {FOLD_ROWS} SELECT run, round(mean_val, 6) AS mean_val FROM bf ORDER BY CASE WHEN max(mean_val) OVER () > 0 THEN bf.mean_val ELSE mean_train END DESC, run LIMIT 1",
+        "trial_attributes": f"""WITH {FOLD_ROWS}, z AS (SELECT run, fold, best_val, best_train - 0.2::DOUBLE AS t, mean_val, mean_train, tp FROM bf), w AS (SELECT * FROM z ORDER BY mean_val DESC, run LIMIT 1)
+SELECT round(avg(mean_train), 6) AS train_mean, round(stddev_pop(mean_train), 6) AS train_std, round(avg(mean_val), 6) AS val_mean, round(stddev_pop(mean_val), 6) AS val_std, round(avg(t), 6) AS test_mean, round(stddev_pop(t), 6) AS test_std,
+(SELECT run FROM w) AS best_run, (SELECT fold FROM w) AS best_fold, 'And(0, ' || (SELECT fold FROM w) || ')' AS rule, string_agg(round(t, 6)::VARCHAR, ',' ORDER BY run) AS tests, (SELECT tp FROM z WHERE run = 0) AS first_tp FROM z""",
         "run_statistics": f"WITH {FOLD_ROWS} {_stats('best_train', 'run', 'fr')}",
         "box_stats": _stats("value", "event_type", "events WHERE value IS NOT NULL"),
         "roulette_probabilities": _population(", q AS (SELECT rule_id, f1 - 0.5::DOUBLE AS s FROM p), z AS (SELECT rule_id, s - least(0.0, min(s) OVER ()) AS t FROM q) SELECT rule_id, round(t / sum(t) OVER (), 6) AS chance FROM z"),

@@ -315,6 +315,14 @@ def experiment_summary(spark, sf_dir):
     return results.best_run(results.best_folds(_fold_rows(spark, sf_dir))).select("run", F.round("mean_val", 6).alias("mean_val"))
 
 
+def trial_attributes(spark, sf_dir):
+    folds = _fold_rows(spark, sf_dir)
+    counts = F.array("tp", "fp", "fn", "tn")
+    rows = folds.select("run", "fold", F.concat(F.lit("And(0, "), "fold", F.lit(")")).alias("best_rule"), "best_val", "best_train", (F.col("best_train") - 0.2).alias("test_score"), counts.alias("val"), counts.alias("test"))
+    found = results.attributes(rows)
+    return found.select(*[F.round(c, 6).alias(c) for c in ("train_mean", "train_std", "val_mean", "val_std", "test_mean", "test_std")], "best_run", "best_fold", "rule", F.array_join(F.transform("test_scores", lambda x: F.round(x, 6).cast("string")), ",").alias("tests"), F.col("val_counts")[0][0].alias("first_tp"))
+
+
 def run_statistics(spark, sf_dir):
     return results.statistics(_fold_rows(spark, sf_dir), "best_train", ("run",))
 
@@ -548,7 +556,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         load_target, typed_ingest, bool_passthrough, onehot_category, quantile_onehot, bin_counts, column_strategy_bins, constant_column_bin, feature_dictionary, tree_root_split,
         literal_eval, and_eval, or_eval, nested_eval, negated_operator, rule_postfix, rule_complexity, rule_remap, compress_weights, confusion_raw, confusion_weighted, f1_score, accuracy_score, f1_empty_cases,
         population_scores, population_scores_raw, population_topk, regularized_scores, population_summary, best_of_generation, literal_scores, best_literal, feature_sample, instance_partition,
-        stratified_split, stratified_kfold, fold_edges, fold_scores, best_fold, run_summary, experiment_summary, run_statistics, box_stats, roulette_probabilities, tournament_probabilities,
+        stratified_split, stratified_kfold, fold_edges, fold_scores, best_fold, run_summary, experiment_summary, trial_attributes, run_statistics, box_stats, roulette_probabilities, tournament_probabilities,
         feedback_signal, feedback_apply, mutation_cases, random_mutations, crossover_cases, crossover_pairs, progress_cases, fold_metrics, marked_runs, fold_parts, experiment_parts, ema, regeneration_marks, band_stats, peak_epoch, rank_picks, top_children, results_join, key_difference, best_or_tied, binary_datasets, rule_predict,
         evolve_flat, evolve_hierarchical, experiment_end_to_end,
     ]

@@ -33,6 +33,19 @@ def best_run(runs: DataFrame) -> DataFrame:
     return runs.withColumn("value", value).orderBy(F.desc("value"), "run").limit(1).drop("value")
 
 
+def attributes(folds: DataFrame) -> DataFrame:
+    """One row about an experiment, from its folds (run, fold, best_rule, best_val, best_train, test_score, val, test): scores of the
+    runs' best folds in order of runs with mean and deviation (of the population), where the best one is, its rule, and confusion counts."""
+    best = best_folds(folds)
+    top = best_run(best).select(F.col("run").alias("best_run"), F.col("fold").alias("best_fold"), F.col("test_score").alias("best_test"), F.col("best_rule").alias("rule"))
+    by_run = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("run", F.col(c).alias("v")))), lambda x: x["v"])
+    aggs = []
+    for name, c in (("train", "mean_train"), ("val", "mean_val"), ("test", "test_score")):
+        aggs += [by_run(c).alias(f"{name}_scores"), F.avg(c).alias(f"{name}_mean"), F.stddev_pop(c).alias(f"{name}_std")]
+    found = best.agg(*aggs, by_run("val").alias("val_counts"), by_run("test").alias("test_counts"), F.count("best_val").alias("validated"))
+    return found.withColumn("val_mean", F.when(F.col("validated") > 0, F.col("val_mean"))).join(F.broadcast(top), F.lit(True))
+
+
 def confusion_text(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
     """[TP: a, FP: b, FN: c, TN: d], or [] without counts."""
     return F.when(tp.isNull(), "[]").otherwise(F.format_string("[TP: %d, FP: %d, FN: %d, TN: %d]", tp, fp, fn, tn))

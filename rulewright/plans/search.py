@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from pathlib import Path
 
@@ -14,7 +15,7 @@ from rulewright.operators.sampling import Sampling
 from rulewright.operators.selection import RouletteSelection, TournamentSelection
 from rulewright.plans.configs import EvolutionConfig, ExperimentConfig, TrainerConfig
 
-TRIAL = "trial long, state string, value double, params string"
+TRIAL = "trial long, state string, value double, params string, attributes string"
 
 DEFAULT_SPACE = {
     "population_size": {"type": "int", "low": 50, "high": 200, "step": 10},
@@ -33,19 +34,57 @@ DEFAULT_SPACE = {
 }
 
 
+def _scalar(text: str):
+    text = text.strip()
+    if text.startswith("[") and text.endswith("]"):
+        return [_scalar(x) for x in text[1:-1].split(",") if x.strip()]
+    if text[:1] in "'\"" and text[:1] == text[-1:] and len(text) > 1:
+        return text[1:-1]
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return {"true": True, "false": False, "null": None, "~": None, "": None}.get(text.lower(), text)
+
+
+def read_yaml(text: str):
+    """The plain part of YAML that settings are written in: mappings and lists by indentation, lists in brackets, scalars, comments."""
+    lines = []
+    for line in text.splitlines():
+        bare = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+        if bare and bare != "---":
+            lines.append((len(bare) - len(bare.lstrip()), bare.strip()))
+
+    def block(at: int, depth: int):
+        out = [] if lines[at][1].startswith("-") else {}
+        while at < len(lines) and lines[at][0] == depth:
+            said = lines[at][1]
+            if isinstance(out, list):
+                out.append(_scalar(said[1:]))
+                at += 1
+                continue
+            name, colon, rest = said.partition(":")
+            if not colon:
+                raise ValueError(f"not a setting: {said!r}")
+            deeper = at + 1 < len(lines) and (lines[at + 1][0] > depth or lines[at + 1][0] == depth and lines[at + 1][1].startswith("- "))
+            if not rest.strip() and deeper:
+                out[_scalar(name)], at = block(at + 1, lines[at + 1][0])
+            else:
+                out[_scalar(name)], at = _scalar(rest), at + 1
+        if at < len(lines) and lines[at][0] > depth:
+            raise ValueError(f"unexpected indentation: {lines[at][1]!r}")
+        return out, at
+
+    return block(0, lines[0][0])[0] if lines else {}
+
+
 def load_space(path: str) -> dict:
-    """A search space from JSON, or from YAML if a reader for it is installed."""
+    """A search space from JSON or YAML."""
     text = Path(path).read_text()
-    if path.endswith((".yaml", ".yml")):
-        try:
-            import yaml
-        except ImportError as e:
-            raise RuntimeError("reading YAML takes the yaml package; JSON works without") from e
-        space = yaml.safe_load(text)
-    else:
-        space = json.loads(text)
+    space = read_yaml(text) if path.endswith((".yaml", ".yml")) else json.loads(text)
     for name, spec in space.items():
-        if spec.get("type") not in ("int", "float", "categorical"):
+        if not isinstance(spec, dict) or spec.get("type") not in ("int", "float", "categorical"):
             raise ValueError(f"{name}: type must be int, float or categorical")
     return space
 
@@ -89,17 +128,23 @@ def trials(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRIAL).parquet(path)
 
 
-def search(spark: SparkSession, path: str, objective: Callable[[dict], float], n_trials: int, space: dict | None = None, most: int | None = None, seed: int = 0) -> DataFrame:
-    """Makes up to n_trials more complete trials, `most` in all; one that fails is kept as pruned. Trials are appended to a table, so a study goes on where it stopped."""
+def search(spark: SparkSession, path: str, objective: Callable[[dict], float | tuple[float, dict]], n_trials: int, space: dict | None = None, most: int | None = None, seed: int = 0) -> DataFrame:
+    """Makes up to n_trials more complete trials, `most` in all; one that fails is kept as pruned, with why.
+
+    objective: gives a value, or a value and a dictionary of attributes. Trials are appended to a table, so a study goes on
+    where it stopped.
+    """
     before = trials(spark, path)
     done, started = before.where("state = 'complete'").count(), before.count()
     left = n_trials if most is None else min(n_trials, most - done)
-    for k in range(max(0, left)):
-        params = sample(space or DEFAULT_SPACE, np.random.default_rng([seed, started + k]))
+    for k in range(started, started + max(0, left)):
+        params = sample(space or DEFAULT_SPACE, np.random.default_rng([seed, k]))
         try:
-            row = (started + k, "complete", float(objective(params)), json.dumps(params))
-        except (ValueError, RuntimeError):
-            row = (started + k, "pruned", None, json.dumps(params))
+            found = objective(params)
+            value, told = found if isinstance(found, tuple) else (found, {})
+            row = (k, "complete", float(value), json.dumps(params), json.dumps(told))
+        except (ValueError, RuntimeError) as e:
+            row = (k, "pruned", None, json.dumps(params), json.dumps({"error": str(e)[:500]}))
         spark.createDataFrame([row], TRIAL).coalesce(1).write.mode("append").parquet(path)
     return trials(spark, path)
 
