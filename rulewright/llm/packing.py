@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from rulewright.llm.common import quoted, released, slices, stretches
 
+#: Bytes of text that are tokenized at a time.
+SLICE = 2 << 20
 EXAMPLE_SCHEMA = "start long, length long, loss_tokens long, sequence_id long, offset long"
 
 
@@ -122,6 +124,10 @@ class Packer:
         self.start, self.tokens, self.loss = [start[k] for k in kept], tokens[kept].tolist(), loss[kept].tolist()
 
 
+#: A letter, the ASCII signs after it, and the end of the word; of letters those that stay one letter in lower case.
+TAIL = r"([\p{Ll}\p{Lo}])([!-/:-@\[-`{-~]+)( |$)"
+
+
 class WordIds(dict):
     """The ids of space-separated words as little-endian 32-bit bytes, by a tokenizer that drops white space.
 
@@ -131,7 +137,7 @@ class WordIds(dict):
     held again.
     """
 
-    def __init__(self, path: str, most: int = 30_000):
+    def __init__(self, path: str, most: int = 60_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
@@ -159,22 +165,18 @@ class WordIds(dict):
         return ids
 
     def learn(self, words: list[str]) -> None:
-        """Holds those of the distinct words that are letters, then signs: encoded without the signs and in long runs.
+        """Holds those of the distinct words that are letters alone, encoded in long runs.
 
         A run is cut where a token ends a word; one with more or fewer ends than words is encoded word by word.
         """
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        old, stems = self.old, {}
-        for word in words:
-            if word not in self:
-                if word in old:
-                    self[word] = old[word]
-                elif (stem := word.rstrip(punctuation)).isalpha() and len(word) <= 64 and stem[-1].lower().isalpha():
-                    stems[word] = stem.lower() if stem.isascii() else stem
-        fresh = [w for w in set(stems.values()) if w not in self and w not in old]
-        for tokenizer, some in ((self.plain, [w for w in fresh if w.isascii()]), (self.tokenizer, [w for w in fresh if not w.isascii()])):
+        old = self.old
+        missing = [w for w in words if w not in self]
+        self.update((w, old[w]) for w in missing if w in old)
+        fresh = [w for w in missing if w not in old and w.isalpha() and len(w) <= 64 and w[-1].lower().isalpha()]
+        for tokenizer, some in ((self.plain, [w for w in fresh if w.isascii() and w.islower()]), (self.tokenizer, [w for w in fresh if not w.isascii()])):
             runs = [some[at : at + 256] for at in range(0, len(some), 256)]
             for run, found in zip(runs, tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
                 ids = np.array(found.ids, "<u4")
@@ -183,13 +185,14 @@ class WordIds(dict):
                     data, at = ids.tobytes(), 0
                     for word, cut in zip(run, cuts, strict=True):
                         self[word], at = data[at:cut], cut
-        for word, stem in stems.items():
-            if word != stem:
-                self[word] = self[stem] + self[word[len(stem) :]] if len(word) > len(stem) else self[stem]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (and the last one's end). Distinct words are looked up once."""
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        texts = pc.replace_substring(texts, "\n", " ")
+        # Lower case, and signs apart from the word before them: the ids stay the same, and fewer words are distinct.
+        parted = pc.replace_substring_regex(pc.ascii_lower(texts), TAIL, r"\1 \2\3")
+        named = pc.match_substring(texts, "<|")  # may be the tokenizer's own tokens, which are in lower case
+        split = pc.split_pattern(pc.if_else(named, texts, parted), " ")
         coded = split.flatten().dictionary_encode()
         words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         self.learn(words)
@@ -246,7 +249,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
             return done
 
         try:
-            for batch in stretches(batches, 1):
+            for batch in stretches(batches, 1, SLICE):
                 like = batch.schema.types[0]
                 flat, bounds = ids.encode(batch.column(1))
                 for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -313,7 +316,7 @@ def conversation_lengths(turns: DataFrame, tokenizer_path: str, conv_col: str =
     def count(batches):
         ids = word_ids(tokenizer_path)
         try:
-            for batch in stretches(batches, 2):
+            for batch in stretches(batches, 2, SLICE):
                 n = np.diff(ids.encode(batch.column(2))[1])
                 borne = np.where(batch.column(1).to_numpy(zero_copy_only=False), n, 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(borne, pa.int64())], names=[conv_col, "n_tokens", "n_loss"])
