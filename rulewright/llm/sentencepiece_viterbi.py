@@ -122,7 +122,7 @@ class Encoder:
     When `most` words are held they become the old ones; an old word that is met again is held again.
     """
 
-    def __init__(self, model: Model, most: int = 100_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most = model, most
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -272,7 +272,7 @@ def encode_documents(docs: DataFrame, model_path: str, kind: int | None = None,
     def encoded(batches, encoder, model):
         single = np.zeros(len(model.pieces), bool)
         single[list(model.bytes.values())] = True
-        for batch in stretches(batches, 1):
+        for batch in stretches(batches, 1, 4 << 20):
             texts = batch.column(1).to_pylist()
             rows = []
             for text, (n_words, data) in zip(texts, encoder.batch(texts), strict=True):
