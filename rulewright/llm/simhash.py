@@ -168,7 +168,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node and root (the least node that it reaches) for each end of the edges (a, b: long). No edges: no rows.
 
     Large-star and small-star rounds on Spark, each written out; parts are joined within tasks first. The least
-    neighbours are written before they are joined, so that the rows of a node with very many can be split.
+    neighbours are written before nodes with very many are joined to them, so that their rows can be split.
     """
 
     def merge(batches):
@@ -182,8 +182,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         both = now.union(now.select("b", "a"))
         least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), small=True)
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = materialize(large, small=True)
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), small=True)  # here a > b always
+        least = large.groupBy("a").agg(F.min("b").alias("m"))  # here a > b always, so that no a has very many rows
         small = large.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y"), F.col("a").alias("z"))
         small = small.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("z").alias("a"), F.col("y").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
         now = materialize(small, small=True)
