@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Shuffle partitions of a small result that are written as one file.
 TOGETHER = 8
+#: Bytes of an Arrow batch that is sent to Python (Spark's own default is 64 MB). A batch is held several times over,
+#: on both sides, by every task of an executor.
+ARROW_BYTES = 2 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,6 +70,17 @@ def released(work):
     return run
 
 
+def mapped(df: DataFrame, work, schema: str) -> DataFrame:
+    """df.mapInArrow(work, schema) with batches of at most ARROW_BYTES (or one longer row); memory is released after a task.
+
+    The session's limit on a batch's bytes is lowered to that, as it is read when the plan runs; a lower one stays.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+    return df.mapInArrow(released(work), schema)
+
+
 def quoted(name: str) -> Column:
     """A column by its whole name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")

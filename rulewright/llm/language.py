@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rulewright.llm.common import quoted, released, slices
+from rulewright.llm.common import mapped, quoted, slices
 
 #: Ranks of a profile; longest n-gram; most languages that may be learned: their profiles go to the driver and every task.
 RANKS, LONGEST, LANGUAGES = 300, 3, 1000
@@ -129,7 +129,7 @@ def learn(rows: DataFrame, ranks: int = RANKS, longest: int = LONGEST, languages
 
     if longest > 3:
         raise ValueError("n-grams have at most three letters")
-    counts = rows.where("text is not null and lang is not null").select("text", "lang").mapInArrow(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.where("text is not null and lang is not null").select("text", "lang").transform(mapped, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= ranks)
     size = top.groupBy("lang").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("grams"))
     found = size.limit(languages + 1).collect()
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]], id_col: str = "doc
             got = [model.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text")).mapInArrow(released(run), f"doc_id {kind}, lang_pred string, score double")
+    return docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text")).transform(mapped, run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):

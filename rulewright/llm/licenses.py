@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rulewright.llm.common import checked_broadcast, materialize, quoted, released, row_key, separators_to_space, slices, stretches, text_bytes
+from rulewright.llm.common import checked_broadcast, mapped, materialize, quoted, row_key, separators_to_space, slices, stretches, text_bytes
 
 #: Values that are fixed: phrases of the base scan and their labels.
 PHRASES = (
@@ -119,7 +119,7 @@ def base_scan(docs: DataFrame, phrases=PHRASES, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in columns)], names=["doc_id", "key", "n_words", "n_base", "first_word", "last_word", "base_labels"])
 
     rows = docs.select(quoted(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(released(run), f"doc_id {kind}, key binary, n_words long, n_base long, first_word long, last_word long, base_labels array<string>")
+    return rows.transform(mapped, run, f"doc_id {kind}, key binary, n_words long, n_base long, first_word long, last_word long, base_labels array<string>")
 
 
 def gram_rows(docs: DataFrame, sizes: list[int], id_col: str, text_col: str) -> DataFrame:
@@ -139,7 +139,7 @@ def gram_rows(docs: DataFrame, sizes: list[int], id_col: str, text_col: str) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(np.full(len(place), k, np.int64)), pa.array(place), pa.array(np.concatenate(found))], names=["key", "k", "place", "gram"])
 
     rows = docs.select(row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(released(run), "key binary, k long, place long, gram long")
+    return rows.transform(mapped, run, "key binary, k long, place long, gram long")
 
 
 def edits_allowed(m: int, least: float) -> int:
@@ -230,7 +230,7 @@ def matches(docs: DataFrame, templates=TEMPLATES, k: int = 5, drift: int = 3, le
 
     rows = docs.select(row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
     joined = rows.join(checked_broadcast(found), "key").select("key", "text", "candidates")
-    return joined.mapInArrow(released(run), "key binary, label string, template int, first long, last long, similarity double").distinct()
+    return joined.transform(mapped, run, "key binary, label string, template int, first long, last long, similarity double").distinct()
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = 5, drift: int = 3, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import quoted, released, slices, stretches
+from rulewright.llm.common import mapped, quoted, slices, stretches
 
 #: Bytes of text that are tokenized at a time.
 SLICE = 2 << 20
@@ -264,7 +264,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
             ids.forget()
 
     texts = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(released(pack), f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+    return texts.transform(mapped, pack, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: str, limits: Limits = Limits(), cut: bool = False) -> DataFrame:
@@ -303,7 +303,7 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
         if out:
             yield table(like)
 
-    return pairs.mapInArrow(pack, f"`{id_col}` {kind.simpleString()}, {EXAMPLE_SCHEMA}")
+    return pairs.transform(mapped, pack, f"`{id_col}` {kind.simpleString()}, {EXAMPLE_SCHEMA}")
 
 
 def conversation_lengths(turns: DataFrame, tokenizer_path: str, conv_col: str = "conv_id", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
@@ -325,5 +325,5 @@ def conversation_lengths(turns: DataFrame, tokenizer_path: str, conv_col: str =
 
     kind = turns.schema[conv_col].dataType.simpleString()
     texts = turns.select(quoted(conv_col), F.coalesce(quoted(role_col) == loss_role, F.lit(False)).alias("__borne"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("__text"))
-    counts = texts.mapInArrow(released(count), f"`{conv_col}` {kind}, n_tokens long, n_loss long")
+    counts = texts.transform(mapped, count, f"`{conv_col}` {kind}, n_tokens long, n_loss long")
     return counts.groupBy(quoted(conv_col)).agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_loss").alias("n_loss"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rulewright.llm.common import checked_broadcast, drop_keyed, materialize, quoted, released, row_key, slices, text_bytes
+from rulewright.llm.common import checked_broadcast, drop_keyed, mapped, materialize, quoted, row_key, slices, text_bytes
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 FEATURES = ["x0", "x1", "x2", "x3"]
@@ -101,7 +101,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "key", "lang", "source", *COUNTS])
 
     rows = docs.select(quoted(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), *[F.coalesce(quoted(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))], text_bytes(text_col).alias("text"))
-    counted = rows.mapInArrow(released(run), f"doc_id {kind}, key binary, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    counted = rows.transform(mapped, run, f"doc_id {kind}, key binary, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     words = F.greatest(F.col("n_words"), F.lit(1))
     vector = [
@@ -215,7 +215,7 @@ def concentrate(rows: DataFrame, model: DataFrame, robust: Robust) -> DataFrame:
                 types = [pa.string(), pa.int32()] + [pa.float64()] * (len(out[0]) - 2)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["g", "start", *CENTRES, *SHAPES, "det", "before"])
 
-    return taken.mapInArrow(released(invert), MODEL)
+    return taken.transform(mapped, invert, MODEL)
 
 
 def fit(rows: DataFrame, robust: Robust) -> DataFrame:

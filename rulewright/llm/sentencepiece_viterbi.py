@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import quoted, released, slices, stretches
+from rulewright.llm.common import mapped, quoted, slices, stretches
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -284,7 +284,7 @@ def encode_documents(docs: DataFrame, model_path: str, kind: int | None = None,
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[6], pa.list_(pa.int32()))] * with_ids, names=names + ["ids"] * with_ids)
 
     texts = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(released(run), f"doc_id {kept}, n_words long, n_ids long, n_byte_ids long, ids_crc32 long, decoded_chars long, round_trip boolean" + ", ids array<int>" * with_ids)
+    return texts.transform(mapped, run, f"doc_id {kept}, n_words long, n_ids long, n_byte_ids long, ids_crc32 long, decoded_chars long, round_trip boolean" + ", ids array<int>" * with_ids)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -296,4 +296,4 @@ def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id"
         for batch in slices(batches, 512):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(model, ids or []) for ids in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(quoted(id_col).alias("doc_id"), quoted(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kept}, text string")
+    return encoded.select(quoted(id_col).alias("doc_id"), quoted(ids_col).alias("ids")).transform(mapped, run, f"doc_id {kept}, text string")

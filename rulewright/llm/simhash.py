@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rulewright.llm.common import checked_broadcast, drop_keyed, materialize, quoted, released, row_key, separators_to_space, slices, text_bytes
+from rulewright.llm.common import checked_broadcast, drop_keyed, mapped, materialize, quoted, row_key, separators_to_space, slices, text_bytes
 
 BITS = 64
 #: A bucket with more distinct fingerprints is dealt out to more tasks.
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42
     kind = docs.schema[id_col].dataType.simpleString()
     extra = [row_key(id_col, text_col).alias("key")] if with_key else []
     rows = docs.select(quoted(id_col).alias("doc_id"), text_bytes(text_col).alias("text"), *extra)
-    return materialize(rows.mapInArrow(released(run), f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + ", key binary" * with_key))
+    return materialize(rows.transform(mapped, run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + ", key binary" * with_key))
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -161,7 +161,7 @@ def links(classes: DataFrame, radius: int = 2, words: int = 1, total: int | None
             if out:
                 yield table(out)
 
-    return dealt.repartition("v", "k", "bucket").sortWithinPartitions("v", "k", "bucket", "node").mapInArrow(released(search), "a long, b long")
+    return dealt.repartition("v", "k", "bucket").sortWithinPartitions("v", "k", "bucket", "node").transform(mapped, search, "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -176,7 +176,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], names=["a", "b"])
 
-    now = materialize(edges.where("a != b").mapInArrow(released(merge), "a long, b long"), small=True)
+    now = materialize(edges.where("a != b").transform(mapped, merge, "a long, b long"), small=True)
     mark = None
     for _ in range(most_rounds):
         both = now.union(now.select("b", "a"))
@@ -259,7 +259,7 @@ def banded(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array([bands_of(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "key", "digest", "bands"])
 
     rows = docs.select(quoted(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
-    return materialize(rows.mapInArrow(released(run), f"doc_id {kind}, key binary, digest binary, bands array<long>"))
+    return materialize(rows.transform(mapped, run, f"doc_id {kind}, key binary, digest binary, bands array<long>"))
 
 
 def similar_links(least: float):
@@ -328,11 +328,11 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, shingle: int, least: floa
 
     texts = docs.select(row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text")).join(checked_broadcast(owners), "key").select("node", "text")
     # Repeated rows have the same key: one of them is enough.
-    sets = materialize(texts.mapInArrow(released(run), "node long, set binary").dropDuplicates(["node"]))
+    sets = materialize(texts.transform(mapped, run, "node long, set binary").dropDuplicates(["node"]))
 
     def verify(parts: DataFrame) -> DataFrame:
         full = parts.join(sets, "node").select("gid", "part", "node", "set")
-        return materialize(full.repartition("gid", "part").sortWithinPartitions("gid", "part", "node").mapInArrow(released(similar_links(least)), "a long, b long"), small=True)
+        return materialize(full.repartition("gid", "part").sortWithinPartitions("gid", "part", "node").transform(mapped, similar_links(least), "a long, b long"), small=True)
 
     small = members.where(F.col("n") <= CROWD).select("gid", F.lit("").alias("part"), "node")
     count = F.ceil(F.col("n") / CROWD).cast("int")

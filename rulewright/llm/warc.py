@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import checked_broadcast, materialize, quoted, released, remove_path, scratch_path, text_bytes
+from rulewright.llm.common import checked_broadcast, mapped, materialize, quoted, remove_path, scratch_path, text_bytes
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n"
@@ -205,7 +205,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(zip(*rows, strict=True), types, strict=True))[:n]], names=names[:n])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInArrow(released(parse), RECORD + ", payload binary" * payloads)
+    return files.transform(mapped, parse, RECORD + ", payload binary" * payloads)
 
 
 def assemble(records: DataFrame) -> DataFrame:

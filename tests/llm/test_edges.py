@@ -97,6 +97,19 @@ def test_shuffled_joins_give_the_same(spark, dotted, monkeypatch):
     assert results() == usual
 
 
+def test_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = spark.conf.get(name)
+    try:
+        for given, then in (("64m", common.ARROW_BYTES), ("1m", 1 << 20)):
+            spark.conf.set(name, given)
+            sizes = common.mapped(spark.range(0, 5000, 1, 1).selectExpr("id", "repeat('x', 1000) AS text"), lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long")
+            most = max(r.n for r in sizes.collect())
+            assert then / 1200 < most <= then / 1000 + 1
+    finally:
+        spark.conf.set(name, usual)
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     class Other:
         class sparkContext:  # noqa: N801
