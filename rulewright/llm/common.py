@@ -20,6 +20,10 @@ TOGETHER = 8
 #: Bytes of an Arrow batch that is sent to Python (Spark's own default is 64 MB). A batch is held several times over,
 #: on both sides, by every task of an executor.
 ARROW_BYTES = 2 << 20
+#: Bits of the largest filter of keys that is broadcast (32 MB), and those for each key: one of 16 other rows is let in.
+FILTER_BITS, KEY_BITS = 1 << 28, 16
+#: Bits of one row of bitmap_construct_agg.
+MAP_BITS = 32768
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -134,16 +138,47 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def key_filter(keys: DataFrame, place: Column) -> DataFrame:
+    """The bits that the keys' places set: at (a row of MAP_BITS bits) and bits (binary). place counts from 0."""
+    parts = keys.select(F.floor(place / MAP_BITS).alias("at"), (place % MAP_BITS).alias("bit"))
+    return parts.groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def without(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """rows whose columns `names` are those of no row of keys (materialized; null equals null).
+
+    Up to BROADCAST_ROWS keys are broadcast after a count. Of more, a filter of KEY_BITS bits a key is broadcast, so that most rows
+    that stay are passed on where they are read, and only the others meet the keys in a shuffle. Beyond FILTER_BITS
+    all rows do. The result is the same each way.
+    """
+    n = keys.count()
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in names]
+    meet = lambda some, known: some.alias("r").join(known.alias("k"), same, "left_anti")
+    if n <= BROADCAST_ROWS:
+        return meet(rows, F.broadcast(keys))
+    bits = KEY_BITS * n
+    if bits > FILTER_BITS:
+        return meet(rows, keys)
+    place = F.pmod(F.xxhash64(*names), F.lit(bits))
+    known = materialize(key_filter(keys, place), small=True)
+    at, byte, found = free_name(rows, "at"), free_name(rows, "byte"), free_name(rows, "bits")
+    marked = rows.withColumn(at, F.floor(place / MAP_BITS)).withColumn(byte, (place % MAP_BITS).cast("int"))
+    marked = marked.join(F.broadcast(known.toDF(at, found)), at, "left")
+    value = F.conv(F.hex(F.substring(found, F.floor(F.col(byte) / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(value, F.col(byte) % 8) == 1, F.lit(False))
+    columns = columns_of(rows)
+    return marked.where(~maybe).select(*columns).unionByName(meet(marked.where(maybe).select(*columns), keys))
+
+
 def drop_keyed(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose row_key is in dropped (one binary column).
 
-    Few keys are broadcast after a count; more of them meet the rows in a shuffled anti join. A null id or text has a
-    key like any other; rows that repeat have one key and go together. No rows, or no keys: docs as it is.
+    Keys meet rows as in without(). A null id or text has a key like any other; rows that repeat have one key and go
+    together. No rows, or no keys: docs as it is.
     """
     name = free_name(docs, "key")
     keys = materialize(dropped.toDF(name).distinct(), small=True)
-    keyed = docs.withColumn(name, row_key(id_col, text_col))
-    return keyed.join(checked_broadcast(keys), name, "left_anti").select(*columns_of(docs))
+    return without(docs.withColumn(name, row_key(id_col, text_col)), keys, [name]).select(*columns_of(docs))
 
 
 def slices(batches, rows: int = 256):

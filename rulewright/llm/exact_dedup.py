@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import checked_broadcast, columns_of, free_name, materialize, quoted, text_bytes
+from rulewright.llm.common import checked_broadcast, columns_of, free_name, materialize, quoted, text_bytes, without
 
 KEY = ["digest", "n_bytes", "witness"]
 
@@ -68,18 +68,18 @@ def drop_exact_duplicates(docs: DataFrame, fan_in: int = 16, id_col: str = "doc_
     Only narrow rows take part in the search for copies; the dropped keys then meet the whole rows. Null texts are
     copies of the empty one; a row without an id goes before any that has one. An empty table stays empty.
     """
-    sha, tie = free_name(docs, "key"), free_name(docs, "tie")
+    sha, ident, tie = free_name(docs, "key"), free_name(docs, "id"), free_name(docs, "tie")
     verdict = exact_duplicates(docs, fan_in, id_col=id_col, text_col=text_col).where("group_size > 1")
     keys = verdict.select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha"), "kept")
     repeated = materialize(keys.groupBy("id", "sha").agg(F.count("*").alias("n"), F.max("kept").alias("stays")).where("n > 1 or not stays"), small=True)
-    lost, tied = repeated.where("not stays").select("id", "sha"), repeated.where("stays").select("id", "sha")
-    with_sha = docs.withColumn(sha, F.unhex(F.sha2(text_bytes(text_col), 256)))
-    same = F.col(f"d.{sha}").eqNullSafe(F.col("l.sha")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col("l.id"))
-    out = with_sha.alias("d").join(checked_broadcast(lost).alias("l"), same, "left_anti")
+    lost, tied = (repeated.where(c).select(F.col("id").alias(ident), F.col("sha").alias(sha)) for c in ("not stays", "stays"))
+    keyed = docs.withColumn(sha, F.unhex(F.sha2(text_bytes(text_col), 256))).withColumn(ident, quoted(id_col))
+    out = without(keyed, lost, [ident, sha])
     if tied.isEmpty():
         return out.select(*columns_of(docs))
     marks = checked_broadcast(tied.withColumn(tie, F.lit(True)))
-    marked = out.alias("d").join(marks.alias("l"), same, "left").select(*[F.col(f"d.`{c}`") for c in [*docs.columns, sha]], F.col(tie))
+    same = F.col(f"d.{sha}").eqNullSafe(F.col(f"l.{sha}")) & F.col(f"d.{ident}").eqNullSafe(F.col(f"l.{ident}"))
+    marked = out.alias("d").join(marks.alias("l"), same, "left").select(*[F.col(f"d.`{c.replace('`', '``')}`") for c in [*docs.columns, ident, sha]], F.col(tie))
     # Rows that repeat both id and text, of which any one stays; each task sends one of each.
-    once = marked.where(F.col(tie)).dropDuplicates([id_col, sha])
+    once = marked.where(F.col(tie)).dropDuplicates([ident, sha])
     return marked.where(F.col(tie).isNull()).select(*columns_of(docs)).unionByName(once.select(*columns_of(docs)))

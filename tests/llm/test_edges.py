@@ -92,9 +92,29 @@ def test_shuffled_joins_give_the_same(spark, dotted, monkeypatch):
 
     usual = results()
     plain = lambda small, rows=None, limit=0: small
-    for module in (secrets, simhash, exact_dedup, quality, licenses, common):
+    for module in (secrets, simhash, exact_dedup, quality, licenses):
         monkeypatch.setattr(module, "checked_broadcast", plain)
-    assert results() == usual
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert results() == usual  # keys met through a filter
+    monkeypatch.setattr(common, "FILTER_BITS", 0)
+    assert results() == usual  # and by all rows
+
+
+def test_key_filter_lets_few_others_in(spark, monkeypatch):
+    """Null keys, hot keys, names that clash; few of the rows that stay take part in the shuffle."""
+    rows = spark.range(40_000).selectExpr("if(id % 1000 = 0, null, id % 30000) AS k", "id AS `__at`", "'x' AS `__bits`")
+    keys = common.materialize(spark.range(9000).selectExpr("if(id = 7, null, id * 2) AS k"))
+    gone = {None} | {2 * i for i in range(9000) if i != 7}
+    expected = Counter(r for r in map(tuple, rows.collect()) if r[0] not in gone)
+    assert Counter(map(tuple, common.without(rows, keys, ["k"]).collect())) == expected
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    out = common.without(rows, keys, ["k"])
+    assert out.columns == rows.columns and Counter(map(tuple, out.collect())) == expected
+    place = F.pmod(F.xxhash64("k"), F.lit(16 * 9000))
+    found = {r["at"]: bytes(r["bits"]) for r in common.key_filter(keys, place).collect()}
+    there = [found.get(p // 32768, bytes(4096))[p % 32768 // 8] >> p % 8 & 1 for (p,) in rows.where("k is not null").select(place).collect()]
+    assert sum(there) < 0.08 * sum(expected.values()) + rows.count() - sum(expected.values())
+    assert common.without(rows, keys.limit(0), ["k"]).count() == 40_000
 
 
 def test_batches_are_bounded(spark):
