@@ -19,7 +19,7 @@ BROADCAST_ROWS = 100_000
 TOGETHER = 8
 #: Bytes of an Arrow batch that is sent to Python (Spark's own default is 64 MB). A batch is held several times over,
 #: on both sides, by every task of an executor.
-ARROW_BYTES = 2 << 20
+ARROW_BYTES = 4 << 20
 #: Bits of the largest filter of keys that is broadcast (32 MB), and those for each key: one of 16 other rows is let in.
 FILTER_BITS, KEY_BITS = 1 << 28, 16
 #: Bits of one row of bitmap_construct_agg.
