@@ -23,7 +23,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of near copies stays, the one with the least doc_id; documents without words are copies of each other."""
+    """One document of near copies stays, the one with the least doc_id; documents without words are copies of each other.
+
+    Candidates come from the covering tables of SimHash fingerprints, and from bands of least hashes beyond their radius.
+    """
     return simhash.drop_near_duplicates(docs)
 
 

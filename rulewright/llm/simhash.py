@@ -10,8 +10,9 @@ compares each fingerprint with those not yet reached, and gives one link for eac
 A fingerprint may have two words of 64 bits, each with tables of its own; a link then needs one word within the radius
 and both together within `total` bits. All pairs within 2*radius+1 bits together are found, and chance meets are not.
 
-At a Jaccard index of 0.8 fingerprints differ by more bits than tables can cover. drop_near_duplicates therefore finds
-candidates by bands of least hashes and verifies each by its shingles.
+drop_near_duplicates takes its candidates from the same tables, over fingerprints of shingle sets, and verifies each by
+the shingles. At a Jaccard index of 0.8 fingerprints differ by more bits than tables can cover; bands of least hashes add
+the pairs that are out of their reach, and leave out none that the tables find.
 """
 
 from __future__ import annotations
@@ -33,6 +34,13 @@ BUCKET = 20_000
 BIT_TABLE = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
+def folded(hashes: np.ndarray) -> int:
+    """The signed 64-bit fingerprint of shingle hashes (uint64): a bit is 1 if set in over half of them. None: zero."""
+    octets = hashes.view(np.uint8).reshape(len(hashes), 8)  # little-endian: octet 0 has bits 0 to 7
+    ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ BIT_TABLE for k in range(8)])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def simhash(data: bytes, shingle: int, seeds: tuple[int, ...] = (42,), table: bytes = separators_to_space(lambda b: True)) -> list[int]:
     """The signed 64-bit fingerprint of a text's UTF-8 bytes, for each seed."""
     import xxhash
@@ -44,13 +52,8 @@ def simhash(data: bytes, shingle: int, seeds: tuple[int, ...] = (42,), table: by
         parts = [b" ".join(words)]
     else:
         parts = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
-    digest, out = xxhash.xxh64_intdigest, []
-    for seed in seeds:
-        hashes = np.array([digest(p, seed) for p in parts], np.uint64)
-        octets = hashes.view(np.uint8).reshape(len(hashes), 8)  # little-endian: octet 0 has bits 0 to 7
-        ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ BIT_TABLE for k in range(8)])
-        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0]))
-    return out
+    digest = xxhash.xxh64_intdigest
+    return [folded(np.array([digest(p, seed) for p in parts], np.uint64)) for seed in seeds]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,), id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
@@ -249,17 +252,28 @@ def bands_of(hashes: np.ndarray) -> list[int]:
 
 
 def banded(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key, digest of the shingle set and its bands; materialized."""
+    """doc_id, key, digest of the shingle set, its fingerprint and its bands; materialized."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in slices(batches, 256):
             sets = [shingle_set(t.as_buffer().to_pybytes(), shingle) for t in batch.column(2)]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array([bands_of(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "key", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array([folded(s) for s in sets], pa.int64()), pa.array([bands_of(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "key", "digest", "fp", "bands"])
 
     rows = docs.select(quoted(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
-    return materialize(rows.transform(mapped, run, f"doc_id {kind}, key binary, digest binary, bands array<long>"))
+    return materialize(rows.transform(mapped, run, f"doc_id {kind}, key binary, digest binary, fp long, bands array<long>"))
+
+
+def candidate_buckets(classes: DataFrame, radius: int) -> DataFrame:
+    """node and bucket of classes (node, fp, bands): one for each covering table of the fingerprint, and the bands.
+
+    Two nodes whose fingerprints are at most `radius` bits apart share a bucket, whatever their bands. Sets without
+    shingles have no bands and get no bucket.
+    """
+    masks = F.array(*[F.lit(m) for m in covering_masks(radius)])
+    tables = F.transform(masks, lambda mask, v: F.xxhash64(v, F.col("fp").bitwiseAND(mask)))  # numbered: tables don't meet
+    return classes.where(F.size("bands") > 0).select("node", F.explode(F.concat(tables, "bands")).alias("bucket"))  # a band's number is in its hash
 
 
 def similar_links(least: float):
@@ -307,14 +321,15 @@ def similar_links(least: float):
     return run
 
 
-def jaccard_links(docs: DataFrame, classes: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between nodes of classes (node, key of one document, bands) that connect what pairs at `least` connect.
+def jaccard_links(docs: DataFrame, classes: DataFrame, shingle: int, least: float, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between nodes of classes (node, key of one document, fp, bands) that connect what pairs at `least` connect.
 
-    Candidates share a band; each is verified by the shingles themselves. Buckets of the same members count once.
+    Candidates share a covering table's bucket or a band; each is verified by the shingles themselves. Buckets of the
+    same members count once.
     A bucket over CROWD is dealt out in parts: first each part with part 0, which joins most; if that leaves its
     members unconnected, every two parts meet. No candidate pair is left out and no task holds more than two parts.
     """
-    keyed = classes.select("node", F.explode("bands").alias("bucket"))  # a bucket's number is hashed with its band's
+    keyed = candidate_buckets(classes, radius)
     # Counted within each task before anything is sent, so a bucket that very many share stays small. Most have one member.
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("n > 1")
     buckets = materialize(sizes.groupBy("n", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n", F.monotonically_increasing_id().alias("gid")), small=True)
@@ -351,21 +366,24 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, shingle: int, least: floa
     return found.unionByName(verify(rest.select("gid", F.explode(pairs).alias("part"), "node")))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, the least doc_id; all columns kept.
 
-    Documents are linked if the Jaccard index of their sets of shingles is at least `least` (0.8 or more). Words and
+    Documents are linked if the Jaccard index of their sets of shingles is at least `least` (0.8 or more). Candidates are
+    those within `radius` bits by covering tables of the sets' fingerprints, and those that share a band. Words and
     short, empty or null texts are as in near_duplicates. Of repeated ids with different texts one stays, by row_key;
     a row without an id stays only where no other is in its component. Rows that repeat the one that stays in both id
     and text all stay. An empty table stays empty.
     """
     if not 0.8 <= least <= 1:
         raise ValueError("least must be between 0.8 and 1: the bands miss pairs that are less similar")
+    if not 0 <= radius <= 6:
+        raise ValueError("radius must be between 0 and 6: there are 2^(radius+1)-1 tables")
     rows = banded(docs, shingle, id_col, text_col)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("least")
-    grouped = rows.groupBy("digest").agg(first, F.first("bands").alias("bands"))
-    classes = materialize(grouped.select("digest", "least", "least.key", "bands", F.monotonically_increasing_id().alias("node")))
-    roots = components(jaccard_links(docs, classes, shingle, least, id_col, text_col))
+    grouped = rows.groupBy("digest").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    classes = materialize(grouped.select("digest", "least", "least.key", "fp", "bands", F.monotonically_increasing_id().alias("node")))
+    roots = components(jaccard_links(docs, classes, shingle, least, radius, id_col, text_col))
     linked = roots.join(classes.select("node", "digest", "least"), "node")
     merged = linked.join(linked.groupBy("root").agg(F.min("least").alias("best")), "root").select("digest", "best")
     every = materialize(classes.select("digest", "least").join(merged, "digest", "left").select("digest", F.coalesce("best", "least")["key"].alias("stays")))

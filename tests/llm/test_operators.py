@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulewright.llm import exact_dedup, language, licenses, packing, quality, secrets, sentencepiece_viterbi, simhash, url_rules, warc
-from rulewright.llm.common import stretches
+from rulewright.llm.common import materialize, stretches
 from rulewright.llm.queries import TOKENIZERS, queries
 
 ODD = [(9001, None), (9002, ""), (9003, "   \n\t "), (9004, "one"), (9005, "Alpha beta GAMMA delta"), (9005, "Alpha beta GAMMA delta"), (9006, "alpha beta gamma delta"), (None, "no id here at all"), (9007, "x " * 30_000), (9008, "é" * 5000 + " ß ñ"), (9009, None)]
@@ -395,6 +395,31 @@ def test_near_copies_at_the_limit(spark, monkeypatch, crowd):
     assert left == {find(i) for i in range(len(texts))}
 
 
+def test_covering_tables_of_near_copies(spark):
+    """The stage's candidates without any shared band: every pair within the radius, and of those the similar ones are linked."""
+    rng = random.Random(5)
+    words_ = [f"w{i}" for i in range(3000)]
+    texts = []
+    for i in range(60):
+        base = [rng.choice(words_) for _ in range(rng.choice((100, 300)))]
+        copy = list(base)
+        for _ in range(1 + i % 3):
+            copy[rng.randrange(len(copy))] = rng.choice(words_)
+        texts += [" ".join(base), " ".join(copy)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    alone = simhash.banded(docs, 5, "doc_id", "text").select(F.col("doc_id").alias("node"), "key", "fp", F.array("doc_id").alias("bands"))
+    alone = materialize(alone)
+    fps = {r.node: r.fp & (1 << 64) - 1 for r in alone.collect()}
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = {(a, b) for b in fps for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 5}
+    want = {(a, b) for a, b in near if 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b])}
+    keyed = simhash.candidate_buckets(alone, 5)
+    met = keyed.alias("x").join(keyed.alias("y"), "bucket").where("x.node < y.node").select("x.node", "y.node").distinct()
+    assert len(want) > 10 and near <= set(map(tuple, met.collect()))
+    found = {tuple(sorted(map(int, r))) for r in simhash.jaccard_links(docs, alone, 5, 0.8, 5, "doc_id", "text").collect()}
+    assert want <= found and all(5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b]) for a, b in found)
+
+
 def plain_license(text):
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))
     places, labels = [], set()
